@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.llm import mixture, tokens
 from weirflow.llm.near_duplicates import NearDuplicates
+from weirflow.llm.repeated_lines import RepeatedLines, without_lines
 from weirflow.session import materialize, table
 
 
@@ -29,5 +31,72 @@ def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
     return found.classes(links).select(F.col("id").alias("job_id"), F.col("uid").alias("class_id"), "copies", "links")
 
 
+def _posting_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, RepeatedLines]:
+    jobs = table(spark, sf, "boards_jobs").select("job_id", "company_board", "description_text")
+    return jobs, RepeatedLines(jobs, F.col("company_board"), F.col("job_id"), F.col("description_text"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines in at least 5 and a fifth of the jobs of one board."""
+    _, lines = _posting_lines(spark, sf)
+    return lines.found().select(F.col("source").alias("company_board"), F.col("key").alias("line_key"))
+
+
+def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Each posting without the lines repeated on its board."""
+    jobs, lines = _posting_lines(spark, sf)
+    clean = without_lines(jobs, "company_board", "description_text", materialize(lines.found(), "lines"))
+    return clean.select("job_id", "company_board", "text_clean", "lines_removed")
+
+
+def _encoded(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
+
+
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document; empty lists for empty and null texts."""
+    return _encoded(spark, sf).select(F.col("key").alias("doc_id"), "ids")
+
+
+def p7_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents there are, and how many come back from their ids as they were (null as empty)."""
+    encoded = materialize(_encoded(spark, sf), "encoded")
+    back = tokens.decode_corpus(encoded).withColumnRenamed("text", "decoded")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    both = docs.join(back, "key", "left")
+    return both.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("text") == F.col("decoded")).alias("restored"))
+
+
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, source, tokens) of every document."""
+    docs = table(spark, sf, "documents")
+    key = F.struct("doc_id", "source")
+    coded = tokens.encode_corpus(docs, key, F.col("text"))
+    return materialize(coded.select("key.doc_id", "key.source", F.size("ids").alias("tokens")), "sizes")
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Each use of a document in the mix, copies counted from 1."""
+    sized = _sized(spark, sf)
+    rates = mixture.mixing_rates(sized, table(spark, sf, "mix_targets"))
+    return mixture.mixed(sized, rates, F.col("doc_id")).select("doc_id", "source", "tokens", "copy")
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and reached share of each source."""
+    sized = _sized(spark, sf)
+    rates = mixture.mixing_rates(sized, table(spark, sf, "mix_targets"))
+    return mixture.reached_shares(mixture.mixed(sized, rates, F.col("doc_id")), rates)
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_classes": p4_classes}
+    return {
+        "p4_found": p4_found,
+        "p4_classes": p4_classes,
+        "p5_found": p5_found,
+        "p5_clean": p5_clean,
+        "p7_ids": p7_ids,
+        "p7_roundtrip": p7_roundtrip,
+        "p8_mix": p8_mix,
+        "p8_shares": p8_shares,
+    }
