@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weirflow.llm import mixture, tokens
 from weirflow.llm.near_duplicates import NearDuplicates
 from weirflow.llm.repeated_lines import RepeatedLines, without_lines
+from weirflow.llm.residue import find_residue
 from weirflow.session import materialize, table
 
 
@@ -89,6 +90,17 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.reached_shares(mixture.mixed(sized, rates, F.col("doc_id")), rates)
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with template residue or filler, or made of an error message or notice."""
+    return find_residue(table(spark, sf, "documents"), F.col("doc_id"), F.col("text")).select(F.col("key").alias("doc_id")).distinct()
+
+
+def p9_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents are flagged for each reason."""
+    found = find_residue(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
+    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def queries() -> dict:
     return {
         "p4_found": p4_found,
@@ -99,4 +111,6 @@ def queries() -> dict:
         "p7_roundtrip": p7_roundtrip,
         "p8_mix": p8_mix,
         "p8_shares": p8_shares,
+        "p9_found": p9_found,
+        "p9_reasons": p9_reasons,
     }
