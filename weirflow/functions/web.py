@@ -82,7 +82,7 @@ def robots_allowed(rules: Column, path: Column) -> Column:
 
 def luhn_valid(digits: Column) -> Column:
     """Luhn check of a text of digits; false for anything else."""
-    return F.coalesce(digits.rlike("^[0-9]+$") & F.luhn_check(digits), F.lit(False))
+    return F.coalesce(digits.rlike("^[0-9]+$") & F.call_function("luhn_check", digits), F.lit(False))
 
 
 def barcode_valid(code: Column) -> Column:

@@ -123,10 +123,10 @@ def filter_remote_semantics(spark, sf):
 
 @query(f"""
 SELECT ats, count(*) AS n, max(posted_at) AS newest FROM boards_jobs
-WHERE epoch_us(TIMESTAMP '{NOW}') - epoch_us(posted_at) <= 30 * 86400000000 GROUP BY ats""")
+WHERE epoch_us(TIMESTAMP '{NOW}') - epoch_us(posted_at) <= 200 * 86400000000 GROUP BY ats""")
 def posted_within_days(spark, sf):
-    """postings of the last thirty days; undated ones are out."""
-    df = table(spark, sf, "boards_jobs").where(dates.within_days(F.col("posted_at"), now(), 30))
+    """postings of the last two hundred days; undated ones are out."""
+    df = table(spark, sf, "boards_jobs").where(dates.within_days(F.col("posted_at"), now(), 200))
     return df.groupBy("ats").agg(F.count(F.lit(1)).alias("n"), F.max("posted_at").alias("newest"))
 
 
@@ -350,14 +350,14 @@ def counted_jobs(spark, sf):
 WITH o AS {_OPENINGS_SQL},
 d AS (SELECT company, department, count(*) AS c FROM o WHERE department IS NOT NULL GROUP BY ALL),
 t AS (SELECT company, string_agg(department || ' (' || c || ')', '; ' ORDER BY rn) AS top_departments FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY c DESC, department) AS rn FROM d) WHERE rn <= 5 GROUP BY company),
-a AS (SELECT company, count(*) AS jobs, count(*) FILTER (WHERE remote) AS remote_jobs, max(posted_at) AS newest, count(*) FILTER (WHERE epoch_us(TIMESTAMP '{NOW}') - epoch_us(posted_at) <= 30 * 86400000000) AS recent FROM o GROUP BY company)
+a AS (SELECT company, count(*) AS jobs, count(*) FILTER (WHERE remote) AS remote_jobs, max(posted_at) AS newest, count(*) FILTER (WHERE epoch_us(TIMESTAMP '{NOW}') - epoch_us(posted_at) <= 200 * 86400000000) AS recent FROM o GROUP BY company)
 SELECT a.*, round(remote_jobs / jobs, 2) AS remote_share, round(recent / jobs, 2) AS velocity, t.top_departments FROM a LEFT JOIN t USING (company)""")
 def company_rollup(spark, sf):
     """One row a company with counts, shares and its top departments."""
     rows = materialize(_openings(spark, sf), "openings")
     sums = rows.groupBy("company").agg(
         F.count(F.lit(1)).alias("jobs"), F.count_if("remote").alias("remote_jobs"), F.max("posted_at").alias("newest"),
-        F.count_if(dates.within_days(F.col("posted_at"), now(), 30)).alias("recent"),
+        F.count_if(dates.within_days(F.col("posted_at"), now(), 200)).alias("recent"),
     )
     shares = sums.withColumns({"remote_share": F.round(F.col("remote_jobs") / F.col("jobs"), 2), "velocity": F.round(F.col("recent") / F.col("jobs"), 2)})
     return shares.join(aggregates.nested_top(rows, ["company"], "department", 5, "top_departments"), "company", "left")
@@ -366,11 +366,11 @@ def company_rollup(spark, sf):
 @query(f"""
 WITH d AS (SELECT DISTINCT job_id, company_board, unnest(list_distinct(list_filter(string_split({sql_search_text("concat_ws(' ', department, team)")}, ' '), lambda w: length(w) >= 2))) AS term FROM boards_jobs),
 s AS (SELECT company_board, count(DISTINCT job_id) AS n FROM boards_jobs GROUP BY company_board), c AS (SELECT company_board, term, count(*) AS records FROM d GROUP BY ALL)
-SELECT c.* FROM c JOIN s USING (company_board) WHERE n >= 3 AND records >= n * 0.6""")
+SELECT c.* FROM c JOIN s USING (company_board) WHERE n >= 3 AND records >= n * 0.3""")
 def shared_terms(spark, sf):
     """Words that most postings of a board share."""
     tokens = F.filter(text.words(text.search_text(F.concat_ws(" ", "department", "team"))), lambda w: F.length(w) >= 2)
-    return aggregates.shared_terms(table(spark, sf, "boards_jobs"), "company_board", "job_id", tokens)
+    return aggregates.shared_terms(table(spark, sf, "boards_jobs"), "company_board", "job_id", tokens, share=0.3)
 
 
 @query(r"""
