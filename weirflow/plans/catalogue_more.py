@@ -229,7 +229,7 @@ def _html_sql(x: str) -> str:
     ):
         out = f"regexp_replace({out}, '{pattern}', {into}, 'g')"
     out = _entities_sql(out)
-    for pattern, into in ((" ", "' '"), (r"[ \t\f\v\r]+", "' '"), (" *\\n *", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''")):
+    for pattern, into in ((r"\x{00A0}", "' '"), (r"[ \t\f\x0B\r]+", "' '"), (" *\\n *", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''")):
         out = f"regexp_replace({out}, '{pattern}', {into}, 'g')"
     return f"nullif({out}, '')"
 

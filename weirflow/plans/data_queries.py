@@ -189,3 +189,40 @@ def queries() -> dict:
         "p3_found": p3_found,
         "p6_found": p6_found,
     }
+
+
+_CHANGES = r"""
+u AS (SELECT run_id, started_at, finished_at, lag(run_id) OVER (ORDER BY started_at) AS earlier FROM crawl_runs WHERE status = 'complete'),
+s AS (SELECT run_id, job_id, max_by(state, fetched_at) AS state FROM (SELECT u.run_id, b.job_id, b.fetched_at, concat_ws(chr(31), trim(coalesce(title, '')), trim(coalesce(department, '')), trim(coalesce(team, '')), trim(coalesce(employment_type, '')),
+  trim(coalesce(workplace_type, '')), array_to_string(list_sort(list_filter(list_transform(coalesce(locations, []), lambda l: trim(coalesce(l, ''))), lambda l: l <> '')), chr(30))) AS state
+  FROM boards_jobs_snapshots b JOIN u ON b.fetched_at BETWEEN u.started_at AND u.finished_at) GROUP BY ALL),
+w AS (SELECT u.run_id, s.job_id, s.state FROM s JOIN u ON s.run_id = u.earlier), n AS (SELECT s.* FROM s JOIN u USING (run_id) WHERE u.earlier IS NOT NULL),
+c AS (SELECT coalesce(n.run_id, w.run_id) AS run_id, coalesce(n.job_id, w.job_id) AS job_id, CASE WHEN w.job_id IS NULL THEN 'added' WHEN n.job_id IS NULL THEN 'removed' WHEN n.state <> w.state THEN 'changed' END AS change
+  FROM n FULL JOIN w ON n.run_id = w.run_id AND n.job_id = w.job_id)"""
+
+_BODY = "(SELECT resp_id, CASE WHEN json_type(j) = 'OBJECT' THEN j WHEN json_type(j) = 'VARCHAR' AND json_valid(j ->> '$') AND json_type(CAST(j ->> '$' AS JSON)) = 'OBJECT' THEN CAST(j ->> '$' AS JSON) END AS o FROM (SELECT resp_id, CAST(body AS JSON) AS j FROM {} WHERE json_valid(body)))"
+
+
+def _array_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL OR json_type({x}) = 'NULL' THEN [] WHEN json_type({x}) = 'ARRAY' THEN CAST({x} AS JSON[]) ELSE [{x}] END"
+
+
+def _unnested(source: str, keep: str, x: str) -> str:
+    return f"(SELECT {keep}, CAST(unnest(range(len(a))) AS INTEGER) AS pos, unnest(a) AS e FROM (SELECT *, {_array_sql(x)} AS a FROM {source}))"
+
+
+_NESTED = f"""
+WITH f AS {_BODY.format('fts_response')}, b AS {_BODY.format('search_airbus')}, h AS {_unnested('f', 'resp_id', "(o -> '$.hits.hits')")}, r AS {_unnested('b', 'resp_id', "(o -> '$.results')")},
+c AS {_unnested("(SELECT e ->> '$._id' AS k, e -> '$._source.ciks' AS v FROM h)", 'k', 'v')}, g AS {_unnested("(SELECT e ->> '$.siren' AS k, e -> '$.siege' AS v FROM r)", 'k', 'v')},
+t AS {_unnested("(SELECT e ->> '$.siren' AS k, e -> '$.matching_etablissements' AS v FROM r)", 'k', 'v')}
+SELECT DISTINCT * FROM (SELECT 'hit' AS rel, CAST(resp_id AS VARCHAR) AS parent_key, pos, e ->> '$._id' AS child_key FROM h UNION ALL SELECT 'cik', k, pos, e ->> '$' FROM c
+UNION ALL SELECT 'siege', k, pos, e ->> '$.adresse' FROM g UNION ALL SELECT 'etab', k, pos, e ->> '$.siret' FROM t
+UNION ALL SELECT 'secondary', id, CAST(unnest(range(len(secondarylocations))) AS INTEGER), unnest(secondarylocations).location FROM ashby_jobs) WHERE parent_key IS NOT NULL AND child_key IS NOT NULL"""
+
+
+def sql() -> dict[str, str]:
+    return {
+        "p2_found": f"WITH {_CHANGES} SELECT * FROM c WHERE change IS NOT NULL",
+        "p2_change_counts": f"WITH {_CHANGES} SELECT run_id, change, count(*) AS jobs FROM c WHERE change IS NOT NULL GROUP BY ALL",
+        "p6_found": _NESTED,
+    }
