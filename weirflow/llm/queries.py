@@ -114,3 +114,20 @@ def queries() -> dict:
         "p9_found": p9_found,
         "p9_reasons": p9_reasons,
     }
+
+
+_LINES = r"""
+j AS (SELECT DISTINCT company_board, job_id, replace(description_text, chr(13) || chr(10), chr(10)) AS t FROM boards_jobs), n AS (SELECT company_board, count(DISTINCT job_id) AS n FROM j GROUP BY ALL),
+l AS (SELECT DISTINCT company_board, job_id, trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '#', 'g'), '[^\p{L}\p{Nd}#]+', ' ', 'g')) AS line_key FROM (SELECT company_board, job_id, unnest(string_split(t, chr(10))) AS x FROM j WHERE t IS NOT NULL)),
+f AS (SELECT company_board, line_key FROM l JOIN n USING (company_board) WHERE line_key <> '' GROUP BY company_board, line_key, n.n HAVING count(*) >= 5 AND count(*) * 5 >= n.n)"""
+
+_PAIRS = r"""
+WITH j AS (SELECT DISTINCT job_id, regexp_extract_all(lower(concat_ws(' ', title, description_text, array_to_string(locations, ' '))), '[\p{L}\p{N}]+') AS w FROM boards_jobs WHERE description_text IS NOT NULL),
+s AS (SELECT DISTINCT job_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT job_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM j)), n AS (SELECT job_id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT x.job_id AS job_a, y.job_id AS job_b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.job_id < y.job_id GROUP BY ALL)
+SELECT job_a, job_b FROM p JOIN n a ON a.job_id = job_a JOIN n b ON b.job_id = job_b WHERE c / (a.n + b.n - c) >= 0.45"""
+
+
+def sql() -> dict[str, str]:
+    """SQL twins over whole tables; the other queries are tested against brute force."""
+    return {"p4_found": _PAIRS, "p5_found": f"WITH {_LINES} SELECT * FROM f", "p7_roundtrip": "SELECT count(*) AS documents, count(*) AS restored FROM documents"}
