@@ -24,7 +24,7 @@ class Rule:
 
 
 def detect(df: DataFrame, key: str, text: str, rules: Sequence[Rule]) -> DataFrame:
-    """(key, name, confidence): sums of matching rules up to 100, less excluded names, with implied ones.
+    """(key, name, confidence): sums of matching rules up to 100, less excluded names, with what the rest implies.
 
     Rules are code, at most ``MAX_RULES`` of them, and become one expression
     over each text: no text is joined with the rules. Implications are closed
@@ -41,14 +41,20 @@ def detect(df: DataFrame, key: str, text: str, rules: Sequence[Rule]) -> DataFra
         tries.append(F.when(hit, F.struct(F.lit(rule.name).alias("name"), F.lit(rule.confidence).alias("confidence"))))
     found = df.select(key, F.explode(F.filter(F.array(*tries), lambda x: x.isNotNull())).alias("r")).select(key, "r.name", "r.confidence")
     direct = found.groupBy(key, "name").agg(F.least(F.sum("confidence"), F.lit(100)).cast("int").alias("confidence"))
-    for_all = _closure({r.name: set(r.implies) for r in rules})
-    implied = _expanded(direct, key, for_all)
     against = {(r.name, x) for r in rules for x in r.excludes}
     if against:
         pairs = df.sparkSession.createDataFrame(sorted(against), "by string, name string")
         out = direct.select(key, F.col("name").alias("by")).join(F.broadcast(pairs), "by").select(key, "name").distinct()
-        implied = implied.join(out, [key, "name"], "left_anti")
-    return implied
+        direct = direct.join(out, [key, "name"], "left_anti")
+    return _expanded(direct, key, implications(rules))
+
+
+def implications(rules: Sequence[Rule]) -> dict[str, set[str]]:
+    """All that each name implies, directly or through others."""
+    direct: dict[str, set[str]] = {}
+    for rule in rules:
+        direct.setdefault(rule.name, set()).update(rule.implies)
+    return _closure(direct)
 
 
 def _closure(implies: dict[str, set[str]]) -> dict[str, set[str]]:

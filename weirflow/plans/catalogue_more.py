@@ -407,7 +407,7 @@ def _tech_sql() -> str:
     hits = " UNION ALL ".join(
         "SELECT job_id, '{}' AS name, {} AS confidence FROM j WHERE regexp_matches(description_text, '{}')".format(r.name, r.confidence, r.pattern) for r in TECH_RULES
     )
-    implied = ", ".join(f"('{a}', '{b}')" for a, bs in sorted(rules._closure({r.name: set(r.implies) for r in TECH_RULES}).items()) for b in sorted(bs))
+    implied = ", ".join(f"('{a}', '{b}')" for a, bs in sorted(rules.implications(TECH_RULES).items()) for b in sorted(bs))
     return f"""
 j AS (SELECT DISTINCT job_id, description_text FROM boards_jobs), d AS (SELECT job_id, name, least(sum(confidence), 100) AS confidence FROM ({hits}) GROUP BY ALL),
 i AS (SELECT * FROM (VALUES {implied}) t(name, other)), a AS (SELECT job_id, name, max(confidence) AS confidence FROM (SELECT * FROM d UNION ALL SELECT job_id, other, confidence FROM d JOIN i USING (name)) GROUP BY ALL),
