@@ -31,11 +31,10 @@ from weirflow.session import materialize
 
 # Supports of the weight-4 words of the [7,4] Hamming code, the complements of the Fano plane's lines.
 SUPPORTS = ((2, 4, 5, 6), (1, 3, 5, 6), (1, 2, 3, 4), (0, 3, 4, 6), (0, 2, 3, 5), (0, 1, 4, 5), (0, 1, 2, 6))
-BLOCKS = 12
+BLOCKS = 18
 ESTIMATE_SYMBOLS = 48
 WORD = re.compile(r"[^\W_]+")
 _SEED = np.random.Generator(np.random.PCG64(20240229))
-_XOR = _SEED.integers(0, 2**63, BLOCKS * 7, dtype=np.uint64)
 _MUL = _SEED.integers(0, 2**63, BLOCKS * 7, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = _SEED.integers(0, 2**63, BLOCKS * 7, dtype=np.uint64)
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63))
@@ -47,39 +46,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return value
+
+
 class Shingler:
     """Distinct hashes of runs of ``k`` consecutive words; hashes of words are kept while there are few enough."""
 
     KEPT = 500_000
 
     def __init__(self, k: int) -> None:
-        self.k, self.known = k, {}
-
-    def _hash(self, word: str) -> int:
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-        value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        self.known[word] = value
-        return value
+        self.k, self.known = k, _WordHashes()
 
     def words(self, text: str | None) -> np.ndarray:
-        known = self.known
+        """Hashes of the words of a text in order."""
         words = WORD.findall((text or "").lower())
-        return np.fromiter((known.get(w) or self._hash(w) for w in words), np.uint64, len(words))
+        if len(self.known) > self.KEPT:
+            self.known.clear()
+        return np.array(list(map(self.known.__getitem__, words)), np.uint64)
 
-    def shingles(self, ids: np.ndarray) -> np.ndarray:
+    def runs(self, ids: np.ndarray) -> np.ndarray:
+        """Hashes of all runs, repeated ones too."""
         n = len(ids) - self.k + 1
         if n <= 0:
             return np.empty(0, np.uint64)
         total = np.zeros(n, np.uint64)
         for i in range(self.k):
             total = (total ^ (total >> np.uint64(29))) * _STEP[4] + ids[i : i + n] * _STEP[i % 4]
-        return np.unique(_mix(total))
+        return _mix(total)
+
+    def shingles(self, ids: np.ndarray) -> np.ndarray:
+        found = np.sort(self.runs(ids))
+        return found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, k_print: int) -> Iterator[pa.RecordBatch]:
     exact, wide = Shingler(k), Shingler(k_print)
-    wide.known = exact.known
     for batch in batches:
         ids, classes, words, sketches = [], [], [], []
         for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
@@ -87,10 +91,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, k_print: int) -> It
             s = exact.shingles(hashes)
             if not len(s):
                 continue
-            w = wide.shingles(hashes) if len(hashes) >= k_print else s
+            w = wide.runs(hashes) if len(hashes) >= k_print else s
             low = np.full(BLOCKS * 7, ~np.uint64(0))
             for at in range(0, len(w), 2048):
-                low = np.minimum(low, ((w[at : at + 2048, None] ^ _XOR) * _MUL).min(axis=0))
+                low = np.minimum(low, (_MUL * w[at : at + 2048, None]).min(axis=0))
             symbols = ((low >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2")
             ids.append(key)
             classes.append(_class_of(s))
@@ -176,6 +180,8 @@ class NearDuplicates:
         words = _mapped(self._source, _fingerprints, f"id {kind}, uid long, word binary, sketch binary", k=k, k_print=k + 1)
         #: (id, uid, word, sketch), one row for each record; uid names its class.
         self.records = materialize(words, "fingerprints")
+        #: One row for each class, written so that both sides of the join of anchors read the same shuffle.
+        self.prints = materialize(self.records.select("uid", "word", "sketch").dropDuplicates(["uid"]), "prints")
 
     def least_alike(self) -> int:
         """Equal symbols below which a pair can't be a link but by a chance of under one in a thousand.
@@ -188,11 +194,10 @@ class NearDuplicates:
 
     def candidates(self) -> DataFrame:
         """(a, b), a < b: classes that meet at an anchor and have fingerprints alike enough."""
-        at = _mapped(self.records.select("uid", "word"), _anchors, "anchor long, uid long").distinct()
-        at = at.repartition("anchor")
+        at = _mapped(self.prints.select("uid", "word"), _anchors, "anchor long, uid long").repartition("anchor")
         pairs = at.alias("x").join(at.alias("y"), "anchor").where(F.col("x.uid") < F.col("y.uid"))
         pairs = pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
-        sketch = self.records.select("uid", "sketch").dropDuplicates(["uid"])
+        sketch = self.prints.select("uid", "sketch")
         pairs = pairs.join(sketch.select(F.col("uid").alias("a"), F.col("sketch").alias("wa")), "a").dropDuplicates(["a", "b"])
         pairs = pairs.join(sketch.select(F.col("uid").alias("b"), F.col("sketch").alias("wb")), "b")
         return _mapped(pairs.select("a", "b", "wa", "wb"), _alike, "a long, b long", least=self.least_alike())
