@@ -46,7 +46,7 @@ def ranked(
         return df.withColumns({"match_score": F.lit(None).cast("int"), "matched_in": F.lit(None).cast("string")})
     vocabulary = F.array().cast("array<string>")
     if text is not None:
-        vocabulary = F.array_union(words(search_text(title)), keyword_tokens(title, [*unit, F.substring(text, 1, 1500)]))
+        vocabulary = F.array_union(words(search_text(title)), keyword_tokens(title, [*unit, text]))
     # A generator of one row keeps the optimiser from computing the texts anew for every keyword.
     held = F.struct(search_text(title).alias("title"), search_text(F.concat_ws(" ", *unit)).alias("unit"), vocabulary.alias("vocabulary"))
     df = df.withColumn("__held", F.explode(F.array(held)))

@@ -60,6 +60,7 @@ _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 # ---------------------------------------------------------------- relevance, filters, order
 
 _KEYWORDS = ("engineer", "data platform", "nurse", "energy")
+_SOURCE_CHARS = 1500  # the reference's bound on description texts (KW_SOURCE_CHARS), which the twins have too
 
 
 def _ranked_sql() -> str:
@@ -86,12 +87,12 @@ ORDER BY match_score DESC, posted_at DESC NULLS LAST, job_id LIMIT 100"""
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
     df = jobs(spark, sf, "job_id", "title", "department", "team", "posted_at", "description_text", "workplace_type", "remote")
     df = df.where(~filters.one_of(F.col("workplace_type"), ["onsite"]))
-    return relevance.ranked(df, _KEYWORDS, F.col("title"), [F.col("department"), F.col("team")], F.col("description_text"))
+    return relevance.ranked(df, _KEYWORDS, F.col("title"), [F.col("department"), F.col("team")], F.substring("description_text", 1, _SOURCE_CHARS))
 
 
 @query(_ranked_sql())
 def ranked_topk_jobs(spark, sf):
-    """The hundred best postings for four keywords."""
+    """The hundred best postings for four keywords, sought in the reference's part of the description."""
     return relevance.top_k(_ranked(spark, sf), relevance.rank_order(), 100).select("job_id", "title", "posted_at", "match_score", "matched_in")
 
 
@@ -101,7 +102,7 @@ def ranked_topk_jobs(spark, sf):
     "(r.posted_at IS NOT DISTINCT FROM f.posted_at AND r.job_id > f.job_id))) ORDER BY r.match_score DESC, r.posted_at DESC NULLS LAST, r.job_id LIMIT 40"
 )
 def keyset_page(spark, sf):
-    """The second page of forty, continued from the last row of the first."""
+    """The second page of forty, continued from the last row of the first; ranked as in ranked_topk_jobs."""
     ranked = _ranked(spark, sf).select("job_id", "posted_at", "match_score")
     last = relevance.top_k(ranked, relevance.rank_order(), 40).orderBy(*relevance.rank_order()).tail(1)
     rest = relevance.after_key(ranked, last[0].match_score, last[0].posted_at, last[0].job_id) if last else ranked

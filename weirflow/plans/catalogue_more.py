@@ -265,9 +265,11 @@ def snippets(spark, sf):
 @query()
 def keyword_fields(spark, sf):
     """Words of a posting beyond its title within a budget of characters."""
-    tokens = text.keyword_tokens(F.col("title"), [F.col("department"), F.col("team"), F.substring("description_text", 1, 1500)])
+    tokens = text.keyword_tokens(F.col("title"), [F.col("department"), F.col("team"), F.col("description_text")])
     df = jobs(spark, sf, "job_id", "title", "department", "team", "description_text")
-    return df.select("job_id", F.size(tokens).alias("words"), text.budget_join(tokens, 500).alias("kw"))
+    # A generator of one row keeps the optimiser from computing the words twice.
+    held = df.select("job_id", F.explode(F.array(tokens)).alias("tokens"))
+    return held.select("job_id", F.size("tokens").alias("words"), text.budget_join(F.col("tokens"), 500).alias("kw"))
 
 
 @query(f"""
