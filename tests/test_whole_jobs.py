@@ -1,5 +1,7 @@
 """Nothing is left out where a query or operator could stop short."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from weirflow.operators import relevance
@@ -21,3 +23,9 @@ def test_keywords_behind_1500_characters(spark, tmp_path):
     assert [(r.match_score, r.matched_in) for r in got] == [(30, "description")]
     sf = saved(spark, tmp_path, "boards_jobs", [(*r, "b") for r in rows], f"{schema}, company_board string")
     assert [r.kw for r in catalogue_more.keyword_fields(spark, sf).collect()] == ["plain words daily work nurses"]
+
+
+def test_luhn_of_wrapped_and_single_results(spark, tmp_path):
+    bodies = [json.dumps({"results": [{"siren": "732829320"}, None]}), json.dumps(json.dumps({"results": [{"siren": "732829321"}]})), json.dumps({"results": {"siren": "552100554"}}), json.dumps({"results": None}), '{"results": [{', "", None]
+    sf = saved(spark, tmp_path, "search_airbus", [(b,) for b in bodies], "body string")
+    assert {(r.siren, r.valid) for r in catalogue_more.luhn_checks(spark, sf).collect()} == {("732829320", True), ("732829321", False), ("552100554", True)}

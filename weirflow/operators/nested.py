@@ -95,7 +95,7 @@ def _path(parts: list[str]) -> str:
     return "$" + "".join("['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in parts)
 
 
-def _elements(value: Column) -> Column:
+def elements(value: Column) -> Column:
     """The elements of an array; any other value but null as an array of one."""
     kind = F.schema_of_variant(value)
     whole = F.try_variant_get(value, "$", "array<variant>")
@@ -123,7 +123,7 @@ def flatten_records(roots: DataFrame, value: str, schema: MergedSchema, key: Col
         parts = path[len(above) :].lstrip(".").split(".")
         held = F.try_variant_get("_value", _path(parts), "variant")
         rows = tables[above].select(
-            F.col("_sk").alias("_parent_sk"), F.col("_value").alias("_parent"), *keep, F.posexplode(_elements(held)).alias("_pos", "_value")
+            F.col("_sk").alias("_parent_sk"), F.col("_value").alias("_parent"), *keep, F.posexplode(elements(held)).alias("_pos", "_value")
         )
         rows = rows.where(F.col("_value").isNotNull() & ~F.is_variant_null("_value"))
         sk = F.sha2(F.concat_ws("\x1f", "_parent_sk", F.lit(path), F.col("_pos")), 256)

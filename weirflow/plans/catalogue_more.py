@@ -370,13 +370,13 @@ WITH s AS (SELECT DISTINCT json_extract_string(r, '$.siren') AS siren FROM (SELE
 d AS (SELECT siren, list_sum(list_transform(generate_series(1, 9), lambda i: CASE WHEN i % 2 = 0 THEN (2 * CAST(siren[i] AS INT)) // 10 + (2 * CAST(siren[i] AS INT)) % 10 ELSE CAST(siren[i] AS INT) END)) AS t FROM s WHERE regexp_full_match(siren, '[0-9]{9}'))
 SELECT siren, t % 10 = 0 AS valid FROM d""")
 def luhn_checks(spark, sf):
-    """check digits of company numbers."""
+    """check digits of company numbers, also of those in wrapped bodies and single results."""
     from weirflow.operators import nested
 
     record = nested.json_object(F.col("body"))
-    bodies = table(spark, sf, "search_airbus").where(~F.col("body").startswith('"')).select(F.try_variant_get(record, "$.results", "array<variant>").alias("rs"))
+    bodies = table(spark, sf, "search_airbus").select(F.try_variant_get(record, "$.results", "variant").alias("rs"))
     siren = nested.field("r", "siren")
-    df = bodies.select(F.explode("rs").alias("r")).select(siren.alias("siren")).where(F.col("siren").rlike("^[0-9]{9}$")).distinct()
+    df = bodies.select(F.explode(nested.elements(F.col("rs"))).alias("r")).select(siren.alias("siren")).where(F.col("siren").rlike("^[0-9]{9}$")).distinct()
     return df.select("siren", web.luhn_valid(F.col("siren")).alias("valid"))
 
 
