@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from weirflow.llm.residue import find_residue
 from weirflow.operators import relevance
 from weirflow.plans import catalogue_more
 
@@ -29,3 +30,11 @@ def test_luhn_of_wrapped_and_single_results(spark, tmp_path):
     bodies = [json.dumps({"results": [{"siren": "732829320"}, None]}), json.dumps(json.dumps({"results": [{"siren": "732829321"}]})), json.dumps({"results": {"siren": "552100554"}}), json.dumps({"results": None}), '{"results": [{', "", None]
     sf = saved(spark, tmp_path, "search_airbus", [(b,) for b in bodies], "body string")
     assert {(r.siren, r.valid) for r in catalogue_more.luhn_checks(spark, sf).collect()} == {("732829320", True), ("732829321", False), ("552100554", True)}
+
+
+def test_long_error_page(spark):
+    """A page that is nothing but an error counts at any length; a long text of other content doesn't."""
+    trace = "Exception in thread main\n" + "at com.x.Y(Y.java:12)\n" * 200
+    real = "You report to the head of clinical and guide 6 engineers across Seville and Perth.\n" * 40
+    df = spark.createDataFrame([(0, trace), (1, trace + real), (2, real + trace)], "id int, text string")
+    assert {tuple(r) for r in find_residue(df, F.col("id"), F.col("text")).collect()} == {(0, "page")}

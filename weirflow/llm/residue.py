@@ -24,7 +24,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from weirflow.session import materialize
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W_a-zß-ÿ]|[(\[{<$%_*@#\"'“„«-])")
-PAGE_CHARS = 2_000
 _NAME = r"[#/]?\s*[A-Za-z_][\w.:-]*(?:\s[\w.:-]+){0,5}"
 
 # Marked spans: opening, name and closing of the usual template languages and mail forms.
@@ -196,7 +195,7 @@ def _scan(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.R
                 if spans and not SUBJECT.search(SPAN.sub(" ", part)) and "{%" not in part:
                     template = masked(SPAN.sub("<*>", part))
                     rows += [(key, "slot", template, i, m[0].strip("[]<>{}$%@*|#= _").lower(), span_kind(m)) for i, m in enumerate(spans)]
-            if len(text) <= PAGE_CHARS and (page := page_of(parts)):
+            if page := page_of(parts):
                 rows.append((key, "page", page[0], page[1], None, "error"))
         columns = list(zip(*rows)) if rows else [()] * 6
         types = [kind, pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
@@ -207,8 +206,7 @@ def find_residue(df: DataFrame, key: Column, text: Column, repeats: int = 3) ->
     """(key, reason) of every flagged row: `slot`, `filler` or `page`.
 
     Null, empty and blank texts are never flagged. Rows with equal keys are one
-    record. Texts of any length are scanned whole; one of more than
-    ``PAGE_CHARS`` characters is no page that is nothing but an error message.
+    record. Texts of any length are scanned whole.
     """
     rows = df.select(key.alias("key"), text.alias("text"))
     field = rows.schema["key"].dataType
