@@ -1,13 +1,15 @@
 """Template residue, filler and error pages in a corpus.
 
-Texts are cut into segments. Segments with marked spans (delimited names,
-instructions, blanks, defaults) are aligned with all records of the same
+Texts are cut into segments. Spans that patterns mark in a segment (delimited
+names, instructions, blanks, defaults) are flagged by their wording; only
+brackets of no telling wording are aligned with all records of the same
 template, that is the segment with its spans and numbers masked: a place whose
 value differs between aligned records is a slot, one that is the same
-everywhere is part of the template's wording. A text is flagged where a slot
-still holds a variable's name, a default or a blank, where a segment is filler,
-or where the whole page is an error template repeated over the corpus or worded
-as one.
+everywhere is part of the template's wording. Records in which a slot is filled
+take no part, so residue without delimiters (`Dear First Name,` beside `Dear
+Anna,`) isn't found. A text is flagged where a slot still holds a variable's
+name, a default or a blank, where a segment is filler, or where the whole page
+is an error template repeated over the corpus or worded as one.
 """
 
 from __future__ import annotations
