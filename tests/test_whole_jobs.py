@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from weirflow.llm.near_duplicates import NearDuplicates
 from weirflow.llm.residue import find_residue
 from weirflow.operators import relevance
 from weirflow.plans import catalogue_more
@@ -38,3 +39,11 @@ def test_long_error_page(spark):
     real = "You report to the head of clinical and guide 6 engineers across Seville and Perth.\n" * 40
     df = spark.createDataFrame([(0, trace), (1, trace + real), (2, real + trace)], "id int, text string")
     assert {tuple(r) for r in find_residue(df, F.col("id"), F.col("text")).collect()} == {(0, "page")}
+
+
+def test_short_near_duplicates(spark):
+    """A text of k words and one of k + 1 that hold the same run share half of their runs."""
+    rows = [(f"{i}{side}", f"a{i} b{i} c{i}" + end) for i in range(40) for side, end in (("x", ""), ("y", f" d{i}"))]
+    found = NearDuplicates(spark.createDataFrame(rows, "id string, t string"), F.col("id"), F.col("t"), k=3, threshold=0.45)
+    pairs = {(r.id_a, r.id_b) for r in found.pairs(found.links()).collect()}
+    assert pairs <= {(f"{i}x", f"{i}y") for i in range(40)} and len(pairs) >= 38

@@ -82,19 +82,17 @@ class Shingler:
         return found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, k_print: int) -> Iterator[pa.RecordBatch]:
-    exact, wide = Shingler(k), Shingler(k_print)
+def _fingerprints(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    exact = Shingler(k)
     for batch in batches:
         ids, classes, words, sketches = [], [], [], []
         for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-            hashes = exact.words(text)
-            s = exact.shingles(hashes)
+            s = exact.shingles(exact.words(text))
             if not len(s):
                 continue
-            w = wide.runs(hashes) if len(hashes) >= k_print else s
             low = np.full(BLOCKS * 7, ~np.uint64(0))
-            for at in range(0, len(w), 2048):
-                low = np.minimum(low, (_MUL * w[at : at + 2048, None]).min(axis=0))
+            for at in range(0, len(s), 2048):
+                low = np.minimum(low, (_MUL * s[at : at + 2048, None]).min(axis=0))
             symbols = ((low >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2")
             ids.append(key)
             classes.append(_class_of(s))
@@ -169,27 +167,23 @@ class NearDuplicates:
     An id with several texts stands in the class of each. Classes are named by
     64-bit hashes of their shingle sets.
 
-    Fingerprints are of runs of ``k + 1`` words: chance meetings at an anchor
-    become rarer by more than likely links do.
+    Fingerprints are of the same runs as the shares, so that a pair's chance of
+    meeting at an anchor depends on its share alone, in short texts too.
     """
 
     def __init__(self, df: DataFrame, id_: Column, text: Column, k: int = 5, threshold: float = 0.8) -> None:
         self._source = df.select(id_.alias("id"), text.alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
         self._k, self._threshold = k, threshold
         kind = self._source.schema["id"].dataType.simpleString()
-        words = _mapped(self._source, _fingerprints, f"id {kind}, uid long, word binary, sketch binary", k=k, k_print=k + 1)
+        words = _mapped(self._source, _fingerprints, f"id {kind}, uid long, word binary, sketch binary", k=k)
         #: (id, uid, word, sketch), one row for each record; uid names its class.
         self.records = materialize(words, "fingerprints")
         #: One row for each class, written so that both sides of the join of anchors read the same shuffle.
         self.prints = materialize(self.records.select("uid", "word", "sketch").dropDuplicates(["uid"]), "prints")
 
     def least_alike(self) -> int:
-        """Equal symbols below which a pair can't be a link but by a chance of under one in a thousand.
-
-        The least similarity of the wider runs is what edits of single words leave of the threshold.
-        """
-        left = (2 * self._threshold / (1 + self._threshold)) ** ((self._k + 1) / self._k)
-        p, n = left / (2 - left), ESTIMATE_SYMBOLS
+        """Equal symbols below which a pair can't be a link but by a chance of under one in a thousand."""
+        p, n = self._threshold, ESTIMATE_SYMBOLS
         return max(1, int(n * p - 3.5 * (n * p * (1 - p)) ** 0.5))
 
     def candidates(self) -> DataFrame:
