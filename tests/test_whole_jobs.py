@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from weirflow.functions.instants import parse_instant
 from weirflow.llm.near_duplicates import NearDuplicates
 from weirflow.llm.residue import find_residue
 from weirflow.operators import relevance
@@ -47,3 +48,10 @@ def test_short_near_duplicates(spark):
     found = NearDuplicates(spark.createDataFrame(rows, "id string, t string"), F.col("id"), F.col("t"), k=3, threshold=0.45)
     pairs = {(r.id_a, r.id_b) for r in found.pairs(found.links()).collect()}
     assert pairs <= {(f"{i}x", f"{i}y") for i in range(40)} and len(pairs) >= 38
+
+
+def test_late_and_long_instants():
+    assert parse_instant("9999-12-31", None) == 253402214400000000
+    assert parse_instant("9999-12-31T23:59:59-05:00", None) == 253402318799000000
+    assert parse_instant("9999-12-31T24:00", None) is None and parse_instant("word " * 100, None) is None
+    assert parse_instant("2026-01-02" + " " * 300 + "03:04:05", None) == parse_instant("2026-01-02 03:04:05", None) is not None
