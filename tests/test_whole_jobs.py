@@ -1,6 +1,7 @@
 """Nothing is left out where a query or operator could stop short."""
 
 import json
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -55,3 +56,10 @@ def test_late_and_long_instants():
     assert parse_instant("9999-12-31T23:59:59-05:00", None) == 253402318799000000
     assert parse_instant("9999-12-31T24:00", None) is None and parse_instant("word " * 100, None) is None
     assert parse_instant("2026-01-02" + " " * 300 + "03:04:05", None) == parse_instant("2026-01-02 03:04:05", None) is not None
+
+
+def test_windows_are_split_down_to_seconds(spark, tmp_path):
+    moments = [datetime(2026, 1, 1, 9, 0, 0)] * 330 + [datetime(2026, 1, 1, 9, 0, 1)] * 2 + [datetime(2026, 1, 1, 9, 1)] * 5 + [datetime(2026, 1, 1, 10)] * 7 + [datetime(2026, 1, 2)] * 320
+    sf = saved(spark, tmp_path, "events", [(t,) for t in moments], "ts timestamp_ntz")
+    got = sorted((str(r.start)[8:], r.n, r.width) for r in catalogue_more.split_windows(spark, sf).collect())
+    assert got == [("01 09:00:00", 330, "second"), ("01 09:00:01", 2, "second"), ("01 09:01:00", 5, "minute"), ("01 10:00:00", 7, "hour"), ("02 00:00:00", 320, "day")]

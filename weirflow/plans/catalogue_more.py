@@ -305,13 +305,13 @@ def planned_days(spark, sf):
 WITH h AS (SELECT date_trunc('day', ts) AS w, count(*) AS n FROM events GROUP BY 1), f AS (SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM events WHERE date_trunc('day', ts) IN (SELECT w FROM h WHERE n > 320) GROUP BY 1)
 SELECT w AS start, n, 'day' AS width FROM h WHERE n <= 320 UNION ALL SELECT start, n, 'hour' FROM f""")
 def split_windows(spark, sf):
-    """Windows that hold more than a cap are split into finer ones."""
-    ts = table(spark, sf, "events").select("ts")
-    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
-    whole = ts.groupBy(day.alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    full = whole.where("n > 320").select(F.col("start").alias("d"))
-    fine = ts.join(full, day == F.col("d"), "left_semi").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    return whole.where("n <= 320").withColumn("width", F.lit("day")).unionByName(fine.withColumn("width", F.lit("hour")))
+    """Windows that hold more than a cap are split into finer ones, from days to hours, minutes and seconds at the least."""
+    at = lambda width: F.date_trunc(width, "second").cast("timestamp_ntz")
+    n = table(spark, sf, "events").groupBy(F.date_trunc("second", "ts").cast("timestamp_ntz").alias("second")).agg(F.count(F.lit(1)).alias("n"))
+    held = lambda width: F.sum("n").over(Window.partitionBy(at(width))) <= 320
+    width = F.when(held("day"), "day").when(held("hour"), "hour").when(held("minute"), "minute").otherwise("second")
+    start = F.when(F.col("width") == "day", at("day")).when(F.col("width") == "hour", at("hour")).when(F.col("width") == "minute", at("minute")).otherwise(F.col("second"))
+    return n.withColumn("width", width).groupBy(start.alias("start"), "width").agg(F.sum("n").alias("n")).select("start", "n", "width")
 
 
 @query(r"""
