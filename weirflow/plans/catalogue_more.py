@@ -23,7 +23,7 @@ e AS (SELECT x.node AS a, y.node AS b FROM m x JOIN m y ON x.block = y.block AND
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
 SELECT node, min(root) AS component FROM r GROUP BY node""")
 def cluster_boards(spark, sf):
-    """Suppliers of one nation joined by the share of parts they have in common, as components."""
+    """J10 and the share rule of A3: suppliers of one nation joined by the share of parts they have in common, as components."""
     supplier = table(spark, sf, "supplier")
     members = table(spark, sf, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "l_suppkey", "l_partkey")
     edges = resolve.overlap_edges(members, "s_nationkey", "l_suppkey", "l_partkey", 10**9, 0.28)
@@ -264,7 +264,7 @@ def snippets(spark, sf):
 
 @query()
 def keyword_fields(spark, sf):
-    """Words of a posting beyond its title within a budget of characters."""
+    """Words of a posting beyond its title within a budget of characters; those its board shares (A9) stay in."""
     tokens = text.keyword_tokens(F.col("title"), [F.col("department"), F.col("team"), F.col("description_text")])
     df = jobs(spark, sf, "job_id", "title", "department", "team", "description_text")
     # A generator of one row keeps the optimiser from computing the words twice.
@@ -389,7 +389,7 @@ def country_codes(spark, sf):
 
 @query()
 def enrich_postings(spark, sf):
-    """Years asked for and sponsorship offered, read from texts."""
+    """Years asked for and sponsorship offered, read from texts; pay (T17) is not read here."""
     df = table(spark, sf, "lever_postings").select("id", "descriptionplain").distinct()
     return df.select("id", classify.years_asked_udf("descriptionplain").alias("years_min"), classify.visa_offered_udf("descriptionplain").alias("visa"))
 
