@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -13,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or pd.api.types.is_scalar(value) and pd.isna(value):
         return None
     if isinstance(value, bool):
         return str(value)
