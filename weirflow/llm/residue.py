@@ -1,43 +1,58 @@
-"""Template residue, filler and error pages in a corpus.
-
-Texts are cut into segments. Spans that patterns mark in a segment (delimited
-names, instructions, blanks, defaults) are flagged by their wording; only
-brackets of no telling wording are aligned with all records of the same
-template, that is the segment with its spans and numbers masked: a place whose
-value differs between aligned records is a slot, one that is the same
-everywhere is part of the template's wording. Records in which a slot is filled
-take no part, so residue without delimiters (`Dear First Name,` beside `Dear
-Anna,`) isn't found. A text is flagged where a slot still holds a variable's
-name, a default or a blank, where a segment is filler, or where the whole page
-is an error template repeated over the corpus or worded as one.
+"""Template residue, filler and error pages in a corpus, found by alignment.
+
+Texts are cut into segments (lines and sentences). Patterns only nominate:
+segments with marked spans, names of fields, filler words or error wording.
+What is flagged follows from aligning them over the whole corpus:
+
+* Segments of the same template, filled ones included, are those with equal
+  skeletons (spans, numbers and capitalised runs masked); segments that differ
+  elsewhere are aligned at the place itself, by the literal words on both sides
+  of a span. A place is a slot if its value varies between aligned records, or
+  if records fill it. Brackets that read alike everywhere are wording.
+* A mark that nobody fills (a blank, a default, an instruction, filler) is a
+  slot that kept its default if its segment stands in different texts.
+* A page is an error template if its wording is repeated over different texts.
+
+A slot is flagged where it still holds a variable's name, a default or a blank;
+this exact check reads the value's form.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from weirflow.session import materialize
 
-SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W_a-zß-ÿ]|[(\[{<$%_*@#\"'“„«-])")
+SENTENCE = r"(?<=[.!?])\s+(?=[\p{Lu}\p{Lt}\p{Lo}\p{N}(\[{<$%_*@#\"'“„«-])"
 _NAME = r"[#/]?\s*[A-Za-z_][\w.:-]*(?:\s[\w.:-]+){0,5}"
+# Names of fields that templates leave in place of their value without any delimiter.
+_BARE = r"(?:First|Last|Full|Given|Family|Company|Candidate|Client|Customer|Employer|Recruiter|Manager|Buyer|Recipient) Name|Job Title|Name Here"
 
-# Marked spans: opening, name and closing of the usual template languages and mail forms.
-SPAN = re.compile(
-    r"(?P<tag>\{%.{1,60}?%\}|\{\{[#/!>].{0,60}?\}\})"
-    rf"|(?P<var>\{{\{{\{{?\s*{_NAME}\s*\}}?\}}\}}|\$\{{\s*{_NAME}\s*\}}|<<\s*{_NAME}\s*>>|%%\s*{_NAME}\s*%%|@@\s*{_NAME}\s*@@|\*\|\s*{_NAME}\s*\|\*|<%=?\s*{_NAME}\s*%>"
-    r"|(?<!_)__(?=[A-Za-z])[A-Za-z][\w.]*?[A-Za-z0-9]__(?!_)|\{\s*[A-Za-z_][\w.]{0,40}\s*\}|\{\d{1,2}\}|(?<![\w#])\#[A-Za-z_][\w.]{1,40}\#(?!\w)|(?<![\w%])%[A-Za-z_]{3,40}%(?!\w))"
-    r"|(?P<bracket>\[\[[^\[\]]{1,80}\]\]|\[[^\[\]]{1,80}\]|<[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9 _.'’-]{2,60}>)"
-    r"|(?P<blank>_{3,}|\.{5,}|(?<![\w?])\?{3,}|\b[Xx]{4,}\b|\bXXX\b|\b(?:dd|tt|jj|mm)[./-](?:mm|dd)[./-](?:yyyy|yy|jjjj|aaaa)\b|\b(?:yyyy|jjjj|aaaa)-mm-(?:dd|tt|jj)\b|\bhh:mm\b)"
-    r"|(?P<default>(?:[:=]\s*|\b(?:hello|hi|dear|at|in|for|to|by|from|hallo|bonjour|hola|chez|bei|à|en)\s+)(?:undefined|null|nan|\[object object\])(?=\s*(?:[,.;!]|$)))",
-    re.IGNORECASE,
-)
+# Marked spans of the usual template languages and mail forms, written so that Python and Java read them alike.
+SPANS = {
+    "tag": r"\{%.{1,60}?%\}|\{\{[#/!>].{0,60}?\}\}",
+    "variable": rf"\{{\{{\{{?\s*{_NAME}\s*\}}?\}}\}}|\$\{{\s*{_NAME}\s*\}}|<<\s*{_NAME}\s*>>|%%\s*{_NAME}\s*%%|@@\s*{_NAME}\s*@@|\*\|\s*{_NAME}\s*\|\*|<%=?\s*{_NAME}\s*%>"
+    r"|(?<!_)__(?=[A-Za-z])[A-Za-z][\w.]*?[A-Za-z0-9]__(?!_)|\{\s*[A-Za-z_][\w.]{0,40}\s*\}|\{\d{1,2}\}|(?<![\w#])#[A-Za-z_][\w.]{1,40}#(?!\w)|(?<![\w%])%[A-Za-z_]{3,40}%(?!\w)",
+    "bracket": r"\[\[[^\[\]]{1,80}\]\]|\[[^\[\]]{0,80}\]|<[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9 _.'’-]{2,60}>",
+    "blank": r"_{3,}|\.{5,}|(?<![\w?])\?{3,}|\bx{4,}\b|\b(?-i:XXX)\b|\b(?:dd|tt|jj|mm)[./-](?:mm|dd)[./-](?:yyyy|yy|jjjj|aaaa)\b|\b(?:yyyy|jjjj|aaaa)-mm-(?:dd|tt|jj)\b|\bhh:mm\b",
+    "default": r"(?<=[:=]|[:=] |\bhello |\bhi |\bdear |\bat |\bin |\bfor |\bto |\bby |\bfrom |\bhallo |\bbonjour |\bhola |\bchez |\bbei |\bà |\ben )(?:undefined|null|nan|\[object object\])(?=\s*(?:[,.;!]|$))",
+    "bare": rf"(?<=\w )\b(?-i:{_BARE})\b",
+}
+_LOOKBEHIND = re.compile(r"\(\?<=([^()]*\|[^()]*)\)")
+
+
+def _python_form(pattern: str) -> str:
+    """Python wants lookbehinds of one width: alternatives become lookbehinds of their own."""
+    return _LOOKBEHIND.sub(lambda m: "(?:" + "|".join(f"(?<={x})" for x in m[1].split("|")) + ")", pattern)
+
+
+SPAN = re.compile("|".join(f"(?P<{kind}>{_python_form(p)})" for kind, p in SPANS.items()), re.IGNORECASE)
 FIELD_WORDS = re.compile(
     r"\b(?:names?|titles?|company|employer|candidate|city|town|country|department|team|date|deadline|buyer|authority|salary|amount|location|address|office|e-?mail|phone|"
     r"manager|recruiter|recipient|lot|number|url|link|description|position|role|job|firma|name|ort|datum|stelle|abteilung|nom|ville|poste|entreprise|empresa|puesto|ciudad|fecha|nombre)\b",
@@ -68,9 +83,7 @@ FILLER_WORDS = frozenset(
     "curabitur blandit tempus porttitor donec mi porta maecenas faucibus integer cras justo odio dapibus ac facilisis egestas aenean lacinia bibendum nulla "
     "cum sociis natoque penatibus magnis dis parturient montes nascetur ridiculus mus etiam pellentesque fusce tellus mauris condimentum nibh fermentum massa".split()
 )
-# A segment that is mostly filler has at least one of these among its words as they stand between blanks.
 MASHED = frozenset("asdf asdfg asdfgh asdfasdf qwer qwert qwerty qwertz jkl sdf dfg fgh hjkl zxcv zxcvb yxcv uiop test testing foo bar baz blah bla xyz abc lala".split())
-FILLER_SIGNS = FILLER_WORDS | MASHED
 TRIAL = re.compile(
     r"(?:this is )?(?:a |just a |only a )?(?:sample|dummy|filler|placeholder|example|trial) (?:text|copy|posting|content|document)[.!]?"
     r"|(?:this is )?(?:just |only )?(?:a )?test (?:posting|post|job|entry|document|page|ad)\b.{0,30}\b(?:ignore|not apply|delete|disregard)\b.*|(?:please )?(?:ignore|disregard) this (?:test|posting|entry)\b.*"
@@ -104,13 +117,45 @@ ALONGSIDE = re.compile(
     r"|(?:please )?(?:try again|reload|sign in again|contact)\b.{0,60}|(?:we|this) (?:will|may|should) .{0,60}|switch it on.{0,30}|slow down.{0,60}|.{0,20}error code\b.{0,20}",
     re.IGNORECASE,
 )
-# Without one of these signs a segment has no marked span.
-SIGNS = re.compile(r"[{}\[\]<>%@#_$|?]|\.{5}|[Xx]{3}|[Yy]{4}|[Jj]{4}|[Aa]{4}|[Yy]{2}\b|undefined|null|nan\b|hh:mm|UNDEFINED|NULL|NaN|HH:MM|Null|object")
-FOUND = "key {kind}, unit string, template string, slot int, value string, kind string"
+
+# Nominations, read by Java. A segment without any of these signs has no span, no filler and no instruction.
+SPAN_SIGNS = r"[{}\[\]<>%@#_$|?]|\.{5}|[xX]{3}|(?i:yyyy|jjjj|aaaa|hh:mm|undefined|null|nan\b|\bdd[./-]mm|\btt[./-]mm)|" + rf"\b(?:{_BARE})\b"
+ERROR_SIGNS = (
+    r"(?iU)not found|gateway|forbidden|server error|unavailable|unauthorized|bad request|denied|too many|blocked|connection|fehler|erreur|errore?\b|be found|no longer|not exist|n['’]t exist|gefunden|existiert|verfügbar|encontrada|existe|encuentra"
+    r"|disponible|introuvable|trouvée|trovata|\boops|\bups\b|hoppla|went wrong|script|cookies|browser|human|robot|slow down|permission|access|is (?:currently |temporarily )?(?:down|unavailable|offline|unable|under)|session|traceback|exception|\bfault"
+)
+ALONGSIDE_SIGNS = r"(?iU)nginx|apache|cloudflare|back to|go back|reference|request id|ray id|trace id|incident|file \"|\bat [\w.$]+\(|try again|reload|sign in|contact|\b(?:we|this) (?:will|may|should)\b|switch it on|slow down|error code"
+BULLET = r"(?:^|(?<=\s))[-*•–]\s+(?:\[[ xX✓]?\]\s+)?|^\[[ xX✓]?\]\s+"
+
+
+def _word_signs() -> str:
+    """Filler words that are no common words of any language, instructions and one word repeated four times."""
+    rare = sorted(w for w in FILLER_WORDS | MASHED if len(w) > 4 or w in MASHED)
+    by_letter: dict[str, list[str]] = defaultdict(list)
+    for word in rare:
+        by_letter[word[0]].append(word[1:])
+    words = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(by_letter.items()))
+    openers = r"todo|fixme|tbd|here|hier|ici|aquí|sample|dummy|filler|placeholder|example|trial|blindtext|beispieltext|mustertext|testanzeige|texte|texto|ignore|disregard"
+    return rf"(?iU)\b(?:{words}|{openers})\b|^\((?:add|insert|enter|describe|fill|write|list|include|ajouter|hier|añadir)\b|^(\w+)(?:\W+\1\b){{3}}"
+
+
+WORD_SIGNS = _word_signs()
+JAVA_SPAN = "(?iU)" + "|".join(SPANS.values())
+# Runs of capitalised words behind the first one, and numbers: what differs between filled records of a template.
+VALUES = r"(?<=\S\s)\p{Lu}[\p{L}\p{M}\p{N}'’&-]*(?:\s\p{Lu}[\p{L}\p{M}\p{N}'’&-]*)*|\d+(?:[.,:]\d+)*"
+FOUND = "m string, lo long, hi long, unit string, skeleton long, before string, after string, value string, kind string"
+
+
+def segments(text: Column) -> Column:
+    """Lines and sentences of a text, without bullets, check boxes and blanks around; empty ones left out."""
+    cut = F.split(text, rf"\r\n|\r|\n|{SENTENCE}")
+    return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), BULLET, " "))), lambda s: s != "")
 
 
-def segments(text: str) -> list[str]:
-    return [s for line in re.split(r"\r\n|\r|\n", text) for part in [line.strip()] if part for s in SENTENCE.split(part)]
+def skeleton(segment: Column) -> Column:
+    """Hash of a segment with its spans, numbers and capitalised runs masked."""
+    bare = F.when(segment.rlike(SPAN_SIGNS), F.regexp_replace(segment, JAVA_SPAN, "*")).otherwise(segment)
+    return F.xxhash64(F.lower(F.regexp_replace(bare, VALUES, "*")))
 
 
 def masked(text: str) -> str:
@@ -118,17 +163,17 @@ def masked(text: str) -> str:
 
 
 def span_kind(match: re.Match) -> str:
-    """variable, blank, default, instruction, field or literal; tags of template languages are literals."""
+    """variable, blank, default, instruction, field, bare, box or literal; tags of template languages are literals."""
     group = match.lastgroup
-    inner = match[0].strip("[]<>{}$%@*|#= ").strip("_")
-    if group in ("blank", "default"):
+    if group in ("blank", "default", "bare", "variable"):
         return group
     if group == "tag":
         return "literal"
-    if group == "var":
-        return "variable"
+    inner = match[0].strip("[]<> ").strip("_")
     if not inner.strip(" ._-…"):
-        return "blank"
+        return "blank" if re.search(r"[._…-]{2}", match[0]) else "box"
+    if not re.search(r"[^\W\d_]{2}", inner):  # numbers, single characters and marks are references or code
+        return "literal"
     if INSTRUCTION.search(inner):
         return "instruction"
     if re.search(r"\w[_.]\w|[a-z][A-Z]|^[A-Z][A-Z_]{2,}$", inner) or FIELD_WORDS.search(inner):
@@ -136,19 +181,10 @@ def span_kind(match: re.Match) -> str:
     return "literal"
 
 
-def no_span(match: re.Match) -> bool:
-    """Brackets around numbers, single characters or marks are references, check boxes or code."""
-    return match.lastgroup == "bracket" and (len(inner := match[0].strip("[]<> ")) == 1 or inner != "" and not re.search(r"[^\W\d_]{2}|[._…]{2}", inner))
-
-
 def is_filler(segment: str) -> bool:
     if TRIAL.fullmatch(segment.strip(" -*•\t")):
         return True
-    low = segment.lower()
-    first = low.split(None, 1)[0]
-    if low.count(first) < 4 and FILLER_SIGNS.isdisjoint(low.split()):
-        return False
-    words = re.findall(r"[^\W\d_]+", low)
+    words = re.findall(r"[^\W\d_]+", segment.lower())
     if len(words) < 3:
         return False
     if sum(w in FILLER_WORDS for w in words) >= 0.7 * len(words) and sum(len(w) > 3 and w in FILLER_WORDS for w in words) >= 3:
@@ -158,74 +194,112 @@ def is_filler(segment: str) -> bool:
     return len(words) >= 4 and len(set(words)) == 1
 
 
-def page_of(parts: list[str]) -> tuple[str, int, int] | None:
-    """(masked wording, segments of content, error segments) of a page with an error message, else None."""
+def page_of(parts: list[str]) -> str | None:
+    """Masked wording of a page that holds an error message and at most one segment of other content, else None."""
     errors, content, wording = 0, 0, []
     for part in parts:
         if content > 1:  # a page with real content, whatever else it says
             return None
-        bare = part.strip(" -*•\t")
-        if ERROR.fullmatch(bare):
+        if ERROR.fullmatch(part):
             errors += 1
-            wording.append(masked(bare))
-        elif ALONGSIDE.fullmatch(bare):
-            wording.append(masked(bare))
-        elif len(bare) > 45 or bare.endswith((".", "!", "?")) and len(bare.split()) > 4:
+            wording.append(masked(part))
+        elif ALONGSIDE.fullmatch(part):
+            wording.append(masked(part))
+        elif len(part) > 45 or part.endswith((".", "!", "?")) and len(part.split()) > 4:
             content += 1
-            wording.append(masked(bare))
-    return (" | ".join(wording), content, errors) if errors and content < 2 else None
+            wording.append(masked(part))
+    return " | ".join(wording) if errors and content < 2 else None
+
 
+def _literal(text: str, last: bool) -> str:
+    """The word or mark next to a span, lower-cased; ^ or $ at the segment's bound."""
+    found = re.findall(r"\w+|[^\w\s]", text.lower())
+    return (found[-1] if last else found[0]) if found else ("^" if last else "$")
 
-def _scan(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans, instructions and filler of distinct nominated segments."""
     for batch in batches:
         rows: list[tuple] = []
-        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-            if not text or not text.strip():
+        for m, segment, shape, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("m", "segment", "skeleton", "lo", "hi"))):
+            head = (m, lo, hi)
+            if OPEN_SEGMENT.fullmatch(segment):
+                rows.append((*head, "slot", shape, "^", "$", m, "instruction"))
+                continue
+            if is_filler(segment):
+                rows.append((*head, "filler", shape, None, None, None, None))
                 continue
-            parts = segments(text)
-            marked = SIGNS.search(text) is not None
-            for part in parts:
-                if OPEN_SEGMENT.fullmatch(part.strip(" -*•\t")):
-                    rows.append((key, "slot", masked(part), 0, part, "instruction"))
-                    continue
-                if is_filler(part):
-                    rows.append((key, "filler", None, None, None, None))
-                    continue
-                if not marked or not SIGNS.search(part):
-                    continue
-                spans = [m for m in SPAN.finditer(part) if not no_span(m)]
-                if spans and not SUBJECT.search(SPAN.sub(" ", part)) and "{%" not in part:
-                    template = masked(SPAN.sub("<*>", part))
-                    rows += [(key, "slot", template, i, m[0].strip("[]<>{}$%@*|#= _").lower(), span_kind(m)) for i, m in enumerate(spans)]
-            if page := page_of(parts):
-                rows.append((key, "page", page[0], page[1], None, "error"))
-        columns = list(zip(*rows)) if rows else [()] * 6
-        types = [kind, pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", "unit", "template", "slot", "value", "kind"])
-
-
-def find_residue(df: DataFrame, key: Column, text: Column, repeats: int = 3) -> DataFrame:
+            spans = [(s, span_kind(s)) for s in SPAN.finditer(segment)]
+            if all(kind == "literal" for _, kind in spans) or SUBJECT.search(SPAN.sub(" ", segment)) or "{%" in segment:
+                continue
+            for span, kind in spans:
+                before, after = SPAN.sub("*", segment[: span.start()]), SPAN.sub("*", segment[span.end() :])
+                rows.append((*head, "slot", shape, _literal(before, True), _literal(after, False), span[0].strip("[]<>{}$%@*|#= _").lower(), kind))
+        columns = list(zip(*rows)) if rows else [()] * 9
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+        names = ["m", "lo", "hi", "unit", "skeleton", "before", "after", "value", "kind"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(uid, page_of(parts)) for uid, parts in zip(batch.column("uid").to_pylist(), batch.column("page").to_pylist())]
+        found = [(uid, page) for uid, page in found if page is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([p for _, p in found], pa.string())], ["uid", "wording"])
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """One row for each text: its hash, the skeletons of plain segments, nominated segments, and its parts if it may be a page."""
+    # A generator of one row keeps the optimiser from cutting the texts anew for every use.
+    held = rows.select("uid", F.explode(F.array(segments(F.col("text")))).alias("parts"))
+    marks = lambda s: s.rlike(SPAN_SIGNS)
+    named = held.select("uid", "parts", F.explode(F.array(F.filter("parts", lambda s: marks(s) | s.rlike(WORD_SIGNS)))).alias("nominated"))
+    plain = F.transform(F.array_except("parts", F.filter("nominated", marks)), skeleton)
+    content = lambda s: (F.length(s) > 45) | (s.rlike(r"[.!?]$") & (F.size(F.split(s, r"\s+")) > 4))
+    others = F.size(F.filter("parts", lambda s: content(s) & ~s.rlike(ERROR_SIGNS) & ~s.rlike(ALONGSIDE_SIGNS)))
+    page = F.when((others < 2) & F.exists("parts", lambda s: s.rlike(ERROR_SIGNS)), F.col("parts"))
+    return named.select("uid", F.array_distinct(plain).alias("plain"), F.array_distinct("nominated").alias("nominated"), page.alias("page"))
+
+
+def find_residue(df: DataFrame, key: Column, text: Column) -> DataFrame:
     """(key, reason) of every flagged row: `slot`, `filler` or `page`.
 
     Null, empty and blank texts are never flagged. Rows with equal keys are one
-    record. Texts of any length are scanned whole.
+    record; equal texts are one text, so copies align with nothing and are
+    flagged together. What stands in a single text of the collection, with no
+    other to align it with, isn't flagged. Texts of any length are read whole.
     """
-    rows = df.select(key.alias("key"), text.alias("text"))
-    field = rows.schema["key"].dataType
-    marks = rows.mapInArrow(partial(_scan, kind=to_arrow_type(field)), FOUND.format(kind=field.simpleString()))
+    rows = df.select(key.alias("key"), text.alias("text")).where(F.col("text").rlike(r"\S")).withColumn("uid", F.xxhash64("text"))
+    cut = materialize(_cut(rows.select("uid", "text")), "segments")
+    nominated = cut.select("uid", F.explode("nominated").alias("segment"))
+    nominated = nominated.withColumn("m", F.lower(F.regexp_replace(F.regexp_replace("segment", r"\s+", " "), r"\d+", "#")))
+    # Counts of different texts only need to tell one from more, so the least and greatest hash do, combined before the shuffle.
+    distinct = nominated.groupBy("m").agg(F.min("segment").alias("segment"), F.min("uid").alias("lo"), F.max("uid").alias("hi"))
+    marks = distinct.select("m", "segment", skeleton(F.col("segment")).alias("skeleton"), "lo", "hi").mapInArrow(_marks, FOUND)
     marks = materialize(marks, "marks")
+
     slots = marks.where(F.col("unit") == "slot")
-    # Aligned records of a template: how many values a place takes over the corpus.
-    values = slots.select("template", "slot", "value").distinct().groupBy("template", "slot").agg(F.count(F.lit(1)).alias("values"))
-    sure = slots.where(F.col("kind") != "literal").select("key")
-    varied = slots.where(F.col("kind") == "literal").join(values.where(F.col("values") > 1), ["template", "slot"], "left_semi").select("key")
-    pages = marks.where(F.col("unit") == "page")
-    known = pages.groupBy("template").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= repeats)
-    whole = pages.where(F.col("slot") == 0).select("key")
-    repeated = pages.where(F.col("slot") == 1).join(known, "template", "left_semi").select("key")
-    filler = marks.where(F.col("unit") == "filler").select("key")
-    flagged = None
-    for part, reason in ((sure, "slot"), (varied, "slot"), (filler, "filler"), (whole, "page"), (repeated, "page")):
-        part = part.withColumn("reason", F.lit(reason))
-        flagged = part if flagged is None else flagged.unionByName(part)
-    return flagged.distinct()
+    several = F.col("lo") < F.col("hi")
+    places = slots.groupBy("before", "after").agg((F.min("value") < F.max("value")).alias("varies"), (F.min("lo") < F.max("hi")).alias("several"))
+    varied = places.where("varies and several").select("before", "after")
+    shapes = slots.select("skeleton").distinct()
+    filled = cut.select(F.explode("plain").alias("skeleton")).distinct().join(shapes, "skeleton", "left_semi")
+    residue = slots.where(F.col("kind") != "literal")
+    kept = [
+        # Places that vary between aligned records; names without delimiters and boxes need records that fill them.
+        residue.where(~F.col("kind").isin("bare", "box")).join(varied, ["before", "after"], "left_semi"),
+        residue.join(filled, "skeleton", "left_semi"),
+        # Marks that nobody fills, in different texts.
+        residue.where(F.col("kind").isin("blank", "default", "instruction") & several),
+    ]
+    found = kept[0].select("m")
+    for part in kept[1:]:
+        found = found.unionByName(part.select("m"))
+    wordings = found.withColumn("reason", F.lit("slot")).unionByName(marks.where((F.col("unit") == "filler") & several).select("m", F.lit("filler").alias("reason")))
+    by_segment = nominated.select("uid", "m").join(wordings.distinct(), "m").select("uid", "reason")
+
+    pages = materialize(cut.where(F.col("page").isNotNull()).select("uid", "page").mapInArrow(_pages, "uid long, wording string"), "pages")
+    repeated = pages.groupBy("wording").agg((F.min("uid") < F.max("uid")).alias("several")).where("several").select("wording")
+    by_page = pages.join(repeated, "wording", "left_semi").select("uid", F.lit("page").alias("reason"))
+    flagged = by_segment.unionByName(by_page).distinct()
+    return rows.select("key", "uid").join(flagged, "uid").select("key", "reason").distinct()
