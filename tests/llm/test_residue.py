@@ -1,9 +1,7 @@
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
-from weirflow.llm.residue import ERROR, ERROR_SIGNS, FILLER_WORDS, JAVA_SPAN, SPAN, find_residue
+from weirflow.llm.residue import CUT, ERROR, ERROR_PIECES, JAVA_SPAN, SPAN, find_residue, segments
 
 CONTENT = "You report to the head of clinical and guide {n} engineers across Seville and Perth.\nWe expect {n} years with Kotlin.\n"
 # Two records of each template with different names left in it.
@@ -88,6 +86,6 @@ def test_patterns_read_alike_in_java(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = {r.t: r.s for r in df.select("t", F.regexp_replace("t", JAVA_SPAN, "*").alias("s")).collect()}
     assert got == {t: SPAN.sub("*", t) for t in texts}
-    java = {r.t for r in spark.createDataFrame([(x,) for p in PAGES for x in p.split("\n")], "t string").where(F.col("t").rlike(ERROR_SIGNS)).collect()}
-    assert all(x in java for p in PAGES for x in p.split("\n") if ERROR.fullmatch(x))
-    assert re.fullmatch("[a-z]+", "".join(FILLER_WORDS))
+    cuts = {r.t: [x.strip() for x in r.s if x.strip()] for r in df.select("t", F.split("t", CUT).alias("s")).collect()}
+    assert all(cuts[t] == segments(t) for t in texts if not t.startswith("- "))
+    assert all(any(p in x.lower() for p in ERROR_PIECES) for page in PAGES for x in page.split("\n") if ERROR.fullmatch(x))

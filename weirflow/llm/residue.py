@@ -20,7 +20,6 @@ this exact check reads the value's form.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -118,44 +117,43 @@ ALONGSIDE = re.compile(
     re.IGNORECASE,
 )
 
-# Nominations, read by Java. A segment without any of these signs has no span, no filler and no instruction.
-SPAN_SIGNS = r"[{}\[\]<>%@#_$|?]|\.{5}|[xX]{3}|(?i:yyyy|jjjj|aaaa|hh:mm|undefined|null|nan\b|\bdd[./-]mm|\btt[./-]mm)|" + rf"\b(?:{_BARE})\b"
-ERROR_SIGNS = (
-    r"(?iU)not found|gateway|forbidden|server error|unavailable|unauthorized|bad request|denied|too many|blocked|connection|fehler|erreur|errore?\b|be found|no longer|not exist|n['’]t exist|gefunden|existiert|verfügbar|encontrada|existe|encuentra"
-    r"|disponible|introuvable|trouvée|trovata|\boops|\bups\b|hoppla|went wrong|script|cookies|browser|human|robot|slow down|permission|access|is (?:currently |temporarily )?(?:down|unavailable|offline|unable|under)|session|traceback|exception|\bfault"
-)
-ALONGSIDE_SIGNS = r"(?iU)nginx|apache|cloudflare|back to|go back|reference|request id|ray id|trace id|incident|file \"|\bat [\w.$]+\(|try again|reload|sign in|contact|\b(?:we|this) (?:will|may|should)\b|switch it on|slow down|error code"
-BULLET = r"(?:^|(?<=\s))[-*•–]\s+(?:\[[ xX✓]?\]\s+)?|^\[[ xX✓]?\]\s+"
-
-
-def _word_signs() -> str:
-    """Filler words that are no common words of any language, instructions and one word repeated four times."""
-    rare = sorted(w for w in FILLER_WORDS | MASHED if len(w) > 4 or w in MASHED)
-    by_letter: dict[str, list[str]] = defaultdict(list)
-    for word in rare:
-        by_letter[word[0]].append(word[1:])
-    words = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(by_letter.items()))
-    openers = r"todo|fixme|tbd|here|hier|ici|aquí|sample|dummy|filler|placeholder|example|trial|blindtext|beispieltext|mustertext|testanzeige|texte|texto|ignore|disregard"
-    return rf"(?iU)\b(?:{words}|{openers})\b|^\((?:add|insert|enter|describe|fill|write|list|include|ajouter|hier|añadir)\b|^(\w+)(?:\W+\1\b){{3}}"
-
-
-WORD_SIGNS = _word_signs()
+# Nominations, looked up as plain words and pieces of the lower-cased text: a text or segment without any has no span, filler, instruction or error.
+SPAN_CHARS = re.compile(r"[{}\[\]<>%@#_$|?]|\.{5}")
+SPAN_PIECES = ("xxx", "undefined", "null", "nan", "hh:mm", "yyyy", "jjjj", "aaaa", "dd/mm", "dd.mm", "dd-mm", "mm/dd", "mm.dd", "mm-dd", "tt.mm", "tt/mm", "tt-mm", *(x.lower() for x in ("Name Here", "Job Title", " Name")))
+FILLER_SIGNS = frozenset(w for w in FILLER_WORDS if len(w) > 4) | MASHED
+OPEN_PIECES = ("todo", "fixme", "tbd", "here", "hier", " ici", "aquí", "text", "copy", "content", "posting", "document", "test", "ignore", "disregard", "anzeige", "(add", "(insert", "(enter", "(describe", "(fill", "(write", "(list", "(include", "(ajouter", "(hier", "(añadir")
+ERROR_PIECES = (
+    "not found", "gateway", "forbidden", "server error", "unavailable", "unauthorized", "bad request", "denied", "too many", "blocked", "connection", "fehler", "erreur", "error", "be found", "no longer", "not exist", "n't exist", "n’t exist",
+    "gefunden", "existiert", "verfügbar", "encontrada", "existe", "encuentra", "disponible", "introuvable", "trouvée", "trovata", "oops", "ups", "hoppla", "went wrong", "script", "cookies", "browser", "human", "robot", "slow down", "permission",
+    "your access", "is down", "currently", "temporarily", "offline", "is unable", "maintenance", "session", "traceback", "exception", "fault",
+)
+BULLET = r"[-*•–]\s+(?:\[[ xX✓]?\]\s+)?|\[[ xX✓]?\]\s+"
+# Line ends with blanks, bullets and check boxes behind them, bullets within a line, and ends of sentences.
+CUT = rf"\s*[\r\n]\s*(?:{BULLET})?|\s[-*•–]\s+\[[ xX✓]?\]\s+|{SENTENCE}"
+_SENTENCE_CHARS = r"(?:[^\W_a-zß-ÿ]|[(\[{<$%_*@#\"'“„«-])"
+_CUT = re.compile(rf"\s*[\r\n]\s*(?:{BULLET})?|\s[-*•–]\s+\[[ xX✓]?\]\s+|(?<=[.!?])\s+(?={_SENTENCE_CHARS})")
+_HEAD = re.compile(BULLET)
 JAVA_SPAN = "(?iU)" + "|".join(SPANS.values())
 # Runs of capitalised words behind the first one, and numbers: what differs between filled records of a template.
 VALUES = r"(?<=\S\s)\p{Lu}[\p{L}\p{M}\p{N}'’&-]*(?:\s\p{Lu}[\p{L}\p{M}\p{N}'’&-]*)*|\d+(?:[.,:]\d+)*"
 FOUND = "m string, lo long, hi long, unit string, skeleton long, before string, after string, value string, kind string"
 
 
-def segments(text: Column) -> Column:
+def segments(text: str) -> list[str]:
     """Lines and sentences of a text, without bullets, check boxes and blanks around; empty ones left out."""
-    cut = F.split(text, rf"\r\n|\r|\n|{SENTENCE}")
-    return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), BULLET, " "))), lambda s: s != "")
+    found = (s.strip() for s in _CUT.split(_HEAD.sub("", text.strip(), count=1) if _HEAD.match(text.strip()) else text))
+    return [s for s in found if s]
+
+
+def shape(segment: Column) -> Column:
+    """Hash of a segment with its numbers and capitalised runs masked."""
+    return F.xxhash64(F.lower(F.regexp_replace(segment, VALUES, "*")))
 
 
-def skeleton(segment: Column) -> Column:
-    """Hash of a segment with its spans, numbers and capitalised runs masked."""
-    bare = F.when(segment.rlike(SPAN_SIGNS), F.regexp_replace(segment, JAVA_SPAN, "*")).otherwise(segment)
-    return F.xxhash64(F.lower(F.regexp_replace(bare, VALUES, "*")))
+def plain_shapes(text: Column) -> Column:
+    """The shapes of a text's segments; those with an undelimited name or a run of X in place of a value are no filled ones."""
+    cut = F.filter(F.split(text, CUT), lambda s: (s != "") & ~s.contains("XXX") & ~s.contains(" Name") & ~s.contains("Job Title"))
+    return F.array_distinct(F.transform(cut, lambda s: shape(F.trim(s))))
 
 
 def masked(text: str) -> str:
@@ -181,6 +179,10 @@ def span_kind(match: re.Match) -> str:
     return "literal"
 
 
+def _any_of(pieces: tuple[str, ...], low: str) -> bool:
+    return any(piece in low for piece in pieces)
+
+
 def is_filler(segment: str) -> bool:
     if TRIAL.fullmatch(segment.strip(" -*•\t")):
         return True
@@ -200,7 +202,7 @@ def page_of(parts: list[str]) -> str | None:
     for part in parts:
         if content > 1:  # a page with real content, whatever else it says
             return None
-        if ERROR.fullmatch(part):
+        if _any_of(ERROR_PIECES, part.lower()) and ERROR.fullmatch(part):
             errors += 1
             wording.append(masked(part))
         elif ALONGSIDE.fullmatch(part):
@@ -241,24 +243,32 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [(uid, page_of(parts)) for uid, parts in zip(batch.column("uid").to_pylist(), batch.column("page").to_pylist())]
-        found = [(uid, page) for uid, page in found if page is not None]
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([p for _, p in found], pa.string())], ["uid", "wording"])
+def _nominated(low: str, text: str) -> bool:
+    """Whether there may be a span, filler or an instruction in ``text``, whose lower case is ``low``."""
+    if SPAN_CHARS.search(text) or _any_of(SPAN_PIECES, low) or _any_of(OPEN_PIECES, low):
+        return True
+    words = low.split()
+    return not FILLER_SIGNS.isdisjoint(words) or any(a == b == c == d for a, b, c, d in zip(words, words[1:], words[2:], words[3:]))
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """One row for each text: its hash, the skeletons of plain segments, nominated segments, and its parts if it may be a page."""
-    # A generator of one row keeps the optimiser from cutting the texts anew for every use.
-    held = rows.select("uid", F.explode(F.array(segments(F.col("text")))).alias("parts"))
-    marks = lambda s: s.rlike(SPAN_SIGNS)
-    named = held.select("uid", "parts", F.explode(F.array(F.filter("parts", lambda s: marks(s) | s.rlike(WORD_SIGNS)))).alias("nominated"))
-    plain = F.transform(F.array_except("parts", F.filter("nominated", marks)), skeleton)
-    content = lambda s: (F.length(s) > 45) | (s.rlike(r"[.!?]$") & (F.size(F.split(s, r"\s+")) > 4))
-    others = F.size(F.filter("parts", lambda s: content(s) & ~s.rlike(ERROR_SIGNS) & ~s.rlike(ALONGSIDE_SIGNS)))
-    page = F.when((others < 2) & F.exists("parts", lambda s: s.rlike(ERROR_SIGNS)), F.col("parts"))
-    return named.select("uid", F.array_distinct(plain).alias("plain"), F.array_distinct("nominated").alias("nominated"), page.alias("page"))
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nominated segments of each text, and the masked wording of what may be an error page."""
+    for batch in batches:
+        uids, kept, pages = [], [], []
+        for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist()):
+            low = text.lower()
+            named, error = _nominated(low, text), _any_of(ERROR_PIECES, low)
+            if not (named or error):
+                continue
+            parts = segments(text)
+            found = list({p: None for p in parts if _nominated(p.lower(), p)}) if named else []
+            page = page_of(parts) if error else None
+            if found or page is not None:
+                uids.append(uid)
+                kept.append(found)
+                pages.append(page)
+        arrays = [pa.array(uids, pa.int64()), pa.array(kept, pa.list_(pa.string())), pa.array(pages, pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, ["uid", "nominated", "page"])
 
 
 def find_residue(df: DataFrame, key: Column, text: Column) -> DataFrame:
@@ -270,12 +280,12 @@ def find_residue(df: DataFrame, key: Column, text: Column) -> DataFrame:
     other to align it with, isn't flagged. Texts of any length are read whole.
     """
     rows = df.select(key.alias("key"), text.alias("text")).where(F.col("text").rlike(r"\S")).withColumn("uid", F.xxhash64("text"))
-    cut = materialize(_cut(rows.select("uid", "text")), "segments")
+    cut = materialize(rows.select("uid", "text").mapInArrow(_cut, "uid long, nominated array<string>, page string"), "nominated")
     nominated = cut.select("uid", F.explode("nominated").alias("segment"))
     nominated = nominated.withColumn("m", F.lower(F.regexp_replace(F.regexp_replace("segment", r"\s+", " "), r"\d+", "#")))
     # Counts of different texts only need to tell one from more, so the least and greatest hash do, combined before the shuffle.
     distinct = nominated.groupBy("m").agg(F.min("segment").alias("segment"), F.min("uid").alias("lo"), F.max("uid").alias("hi"))
-    marks = distinct.select("m", "segment", skeleton(F.col("segment")).alias("skeleton"), "lo", "hi").mapInArrow(_marks, FOUND)
+    marks = distinct.select("m", "segment", shape(F.regexp_replace("segment", JAVA_SPAN, "*")).alias("skeleton"), "lo", "hi").mapInArrow(_marks, FOUND)
     marks = materialize(marks, "marks")
 
     slots = marks.where(F.col("unit") == "slot")
@@ -283,7 +293,7 @@ def find_residue(df: DataFrame, key: Column, text: Column) -> DataFrame:
     places = slots.groupBy("before", "after").agg((F.min("value") < F.max("value")).alias("varies"), (F.min("lo") < F.max("hi")).alias("several"))
     varied = places.where("varies and several").select("before", "after")
     shapes = slots.select("skeleton").distinct()
-    filled = cut.select(F.explode("plain").alias("skeleton")).distinct().join(shapes, "skeleton", "left_semi")
+    filled = rows.select(F.explode(plain_shapes(F.col("text"))).alias("skeleton")).join(shapes, "skeleton", "left_semi").distinct()
     residue = slots.where(F.col("kind") != "literal")
     kept = [
         # Places that vary between aligned records; names without delimiters and boxes need records that fill them.
@@ -298,7 +308,7 @@ def find_residue(df: DataFrame, key: Column, text: Column) -> DataFrame:
     wordings = found.withColumn("reason", F.lit("slot")).unionByName(marks.where((F.col("unit") == "filler") & several).select("m", F.lit("filler").alias("reason")))
     by_segment = nominated.select("uid", "m").join(wordings.distinct(), "m").select("uid", "reason")
 
-    pages = materialize(cut.where(F.col("page").isNotNull()).select("uid", "page").mapInArrow(_pages, "uid long, wording string"), "pages")
+    pages = cut.where(F.col("page").isNotNull()).select("uid", F.col("page").alias("wording"))
     repeated = pages.groupBy("wording").agg((F.min("uid") < F.max("uid")).alias("several")).where("several").select("wording")
     by_page = pages.join(repeated, "wording", "left_semi").select("uid", F.lit("page").alias("reason"))
     flagged = by_segment.unionByName(by_page).distinct()
