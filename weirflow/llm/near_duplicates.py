@@ -2,17 +2,20 @@
 
 A record's fingerprint is a word of G blocks of seven minhash symbols. The
 anchors of a block come from the perfect [7,4] Hamming code (covering radius
-1): the supports of its seven words of weight four. Any two blocks at Hamming
-distance of at most two agree on the whole support of one of these words, so a
-fingerprint is replicated to the seven anchors (code word, symbols on its
-support) that it reaches within covering radius plus threshold, and records
-are compared per anchor. Symbols are minhashes rather than bits because at a
-similarity of 0.45 unrelated records differ in half of all bits, so that balls
-of binary words would cover most anchors.
+1): the supports of its seven words of weight three, the lines of the Fano
+plane. Two blocks at Hamming distance of at most two agree on a whole support,
+and so do four fifths of those at distance three; so a fingerprint is
+replicated to the seven anchors (code word, symbols on its support) that it
+reaches within covering radius plus threshold, and records are compared per
+anchor. Symbols are minhashes rather than bits because at a similarity of 0.45
+unrelated records differ in half of all bits, so that balls of binary words
+would cover most anchors.
 
 Records with equal shingle sets are one class, named by a hash of the set, and
 meet at an anchor once. Pairs of classes found are thinned by an estimate from
-their fingerprints and then checked exactly on their whole texts.
+their fingerprints and then checked on the shingle sets of their whole texts.
+What an anchor may miss is stated by ``miss_chance``; ``exact=True`` takes
+candidates from shared rare shingles instead and misses nothing.
 """
 
 from __future__ import annotations
@@ -21,22 +24,23 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import partial
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.session import materialize
 
-# Supports of the weight-4 words of the [7,4] Hamming code, the complements of the Fano plane's lines.
-SUPPORTS = ((2, 4, 5, 6), (1, 3, 5, 6), (1, 2, 3, 4), (0, 3, 4, 6), (0, 2, 3, 5), (0, 1, 4, 5), (0, 1, 2, 6))
-BLOCKS = 18
-ESTIMATE_SYMBOLS = 48
+# Supports of the weight-3 words of the [7,4] Hamming code, the lines of the Fano plane.
+SUPPORTS = ((0, 1, 3), (1, 2, 4), (2, 3, 5), (3, 4, 6), (0, 4, 5), (1, 5, 6), (0, 2, 6))
+BLOCKS = 10
+SYMBOLS = BLOCKS * 7
 WORD = re.compile(r"[^\W_]+")
 _SEED = np.random.Generator(np.random.PCG64(20240229))
-_MUL = _SEED.integers(0, 2**63, BLOCKS * 7, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SALT = _SEED.integers(0, 2**63, BLOCKS * 7, dtype=np.uint64)
+_MUL = _SEED.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALT = _SEED.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63))
 
 
@@ -85,21 +89,28 @@ class Shingler:
 def _fingerprints(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     exact = Shingler(k)
     for batch in batches:
-        ids, classes, words, sketches = [], [], [], []
+        ids, classes, words = [], [], []
         for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
             s = exact.shingles(exact.words(text))
             if not len(s):
                 continue
-            low = np.full(BLOCKS * 7, ~np.uint64(0))
+            low = np.full(SYMBOLS, ~np.uint64(0))
             for at in range(0, len(s), 2048):
                 low = np.minimum(low, (_MUL * s[at : at + 2048, None]).min(axis=0))
-            symbols = ((low >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2")
             ids.append(key)
             classes.append(_class_of(s))
-            words.append(symbols.tobytes())
-            sketches.append((symbols[:ESTIMATE_SYMBOLS] & 0xFF).astype(np.uint8).tobytes())
-        arrays = [pa.array(ids, batch.schema.field(0).type), pa.array(classes, pa.int64()), pa.array(words, pa.binary()), pa.array(sketches, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["id", "uid", "word", "sketch"])
+            words.append(((low >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2").tobytes())
+        arrays = [pa.array(ids, batch.schema.field(0).type), pa.array(classes, pa.int64()), pa.array(words, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["id", "uid", "word"])
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Four bits of each symbol, two symbols a byte."""
+    for batch in batches:
+        if batch.num_rows:
+            bits = (_matrix(batch.column("word"), "<u2") & 15).astype(np.uint8)
+            packed = bits[:, ::2] | (bits[:, 1::2] << 4)
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array([row.tobytes() for row in packed], pa.binary())], ["uid", "sketch"])
 
 
 def _class_of(shingles: np.ndarray) -> int:
@@ -130,7 +141,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _alike(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            same = (_matrix(batch.column("wa"), "u1") == _matrix(batch.column("wb"), "u1")).sum(axis=1)
+            differ = _matrix(batch.column("wa"), "u1") ^ _matrix(batch.column("wb"), "u1")
+            same = ((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1)
             yield batch.filter(pa.array(same >= least)).select(["a", "b"])
 
 
@@ -139,15 +151,15 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Reco
     for batch in batches:
         sets = [shingle.shingles(shingle.words(t)) for t in batch.column("text").to_pylist()]
         keep = [s for s in sets if len(s)]
-        packed = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in keep]
-        yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in keep], pa.int64()), pa.array(packed, pa.binary())], ["uid", "set"])
+        items = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keep)], dtype=np.int32), pa.array(np.concatenate(keep).view(np.int64) if keep else [], pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in keep], pa.int64()), items], ["uid", "items"])
 
 
 def _exact(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         share = []
-        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        for x, y in zip(batch.column("sa"), batch.column("sb")):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
             both = np.intersect1d(x, y, assume_unique=True).size
             share.append(both / (len(x) + len(y) - both))
         out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], ["a", "b", "share"])
@@ -175,36 +187,69 @@ class NearDuplicates:
         self._source = df.select(id_.alias("id"), text.alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
         self._k, self._threshold = k, threshold
         kind = self._source.schema["id"].dataType.simpleString()
-        words = _mapped(self._source, _fingerprints, f"id {kind}, uid long, word binary, sketch binary", k=k)
-        #: (id, uid, word, sketch), one row for each record; uid names its class.
+        words = _mapped(self._source, _fingerprints, f"id {kind}, uid long, word binary", k=k)
+        #: (id, uid, word), one row for each record; uid names its class.
         self.records = materialize(words, "fingerprints")
-        #: One row for each class, written so that both sides of the join of anchors read the same shuffle.
-        self.prints = materialize(self.records.select("uid", "word", "sketch").dropDuplicates(["uid"]), "prints")
+        #: One row for each class, written so that all uses read the same shuffle.
+        self.prints = materialize(self.records.select("uid", "word").dropDuplicates(["uid"]), "prints")
 
     def least_alike(self) -> int:
-        """Equal symbols below which a pair can't be a link but by a chance of under one in a thousand."""
-        p, n = self._threshold, ESTIMATE_SYMBOLS
+        """Equal sketch symbols below which a pair can't be a link but by a chance of under one in a thousand."""
+        p, n = self._threshold + (1 - self._threshold) / 16, SYMBOLS
         return max(1, int(n * p - 3.5 * (n * p * (1 - p)) ** 0.5))
 
+    @staticmethod
+    def miss_chance(share: float) -> float:
+        """Chance that a pair with that share of common shingles meets at no anchor."""
+        alike = [0.0, 0.0, 0.0, 7 / 35, 28 / 35, 1.0, 1.0, 1.0]  # of the sets of i equal symbols, those that hold a support
+        meet = sum(comb(7, i) * share**i * (1 - share) ** (7 - i) * part for i, part in enumerate(alike))
+        return (1 - meet) ** BLOCKS
+
     def candidates(self) -> DataFrame:
-        """(a, b), a < b: classes that meet at an anchor and have fingerprints alike enough."""
-        at = _mapped(self.prints.select("uid", "word"), _anchors, "anchor long, uid long").repartition("anchor")
+        """(a, b), a < b: classes that meet at an anchor and have fingerprints alike enough.
+
+        Both sides of the join are the same shuffle of classes by anchor; a hot
+        anchor is split by adaptive skew handling, which only takes shuffles
+        that the join itself asks for.
+        """
+        at = _mapped(self.prints, _anchors, "anchor long, uid long")
         pairs = at.alias("x").join(at.alias("y"), "anchor").where(F.col("x.uid") < F.col("y.uid"))
         pairs = pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
-        sketch = self.prints.select("uid", "sketch")
+        sketch = _mapped(self.prints, _sketches, "uid long, sketch binary")
         pairs = pairs.join(sketch.select(F.col("uid").alias("a"), F.col("sketch").alias("wa")), "a").dropDuplicates(["a", "b"])
         pairs = pairs.join(sketch.select(F.col("uid").alias("b"), F.col("sketch").alias("wb")), "b")
         return _mapped(pairs.select("a", "b", "wa", "wb"), _alike, "a long, b long", least=self.least_alike())
 
-    def links(self) -> DataFrame:
-        """(a, b, share) of each pair of classes whose share of common shingles reaches the threshold."""
-        pairs = materialize(self.candidates(), "candidates")
-        used = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    def all_candidates(self) -> DataFrame:
+        """(a, b), a < b: classes that share one of the rare shingles which every pair at the threshold must share.
+
+        With shingles ordered by how many classes hold them, two sets of sizes
+        m and n can't reach a share t unless the first m - ceil(t m) + 1 and
+        n - ceil(t n) + 1 of them meet. Nothing is missed; it costs a row for
+        each of those shingles where anchors cost ``SYMBOLS`` rows a class.
+        """
+        sets = self._sets(self.records.select("uid").distinct()).select("uid", F.explode("items").alias("item"))
+        sets = materialize(sets, "items")
+        seen = sets.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+        order = Window.partitionBy("uid").orderBy("n", "item")
+        size = F.count(F.lit(1)).over(Window.partitionBy("uid"))
+        ranked = sets.join(seen, "item").select("uid", "item", F.row_number().over(order).alias("at"), size.alias("size"))
+        first = ranked.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * F.lit(self._threshold) - 1e-9) + 1).select("uid", "item")
+        pairs = first.alias("x").join(first.alias("y"), "item").where(F.col("x.uid") < F.col("y.uid"))
+        return pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+
+    def _sets(self, used: DataFrame) -> DataFrame:
+        """(uid, items) of the named classes, read from one record of each."""
         ids = self.records.select("id", "uid").join(used, "uid", "left_semi").groupBy("uid").agg(F.min("id").alias("id"))
         texts = self._source.join(ids.select("id").distinct(), "id", "left_semi")
-        sets = _mapped(texts.select("text"), _shingle_sets, "uid long, set binary", k=self._k).dropDuplicates(["uid"])
-        joined = pairs.join(sets.select(F.col("uid").alias("b"), F.col("set").alias("sb")), "b")
-        joined = joined.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("sa")), "a")
+        return _mapped(texts.select("text"), _shingle_sets, "uid long, items array<long>", k=self._k).dropDuplicates(["uid"])
+
+    def links(self, exact: bool = False) -> DataFrame:
+        """(a, b, share) of each pair of classes whose share of common shingles reaches the threshold."""
+        pairs = materialize(self.all_candidates() if exact else self.candidates(), "candidates")
+        sets = self._sets(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
+        joined = pairs.join(sets.select(F.col("uid").alias("b"), F.col("items").alias("sb")), "b")
+        joined = joined.join(sets.select(F.col("uid").alias("a"), F.col("items").alias("sa")), "a")
         return _mapped(joined.select("a", "b", "sa", "sb"), _exact, "a long, b long, share double", threshold=self._threshold)
 
     def members(self) -> DataFrame:
@@ -225,5 +270,5 @@ class NearDuplicates:
         across = links.select("a", "b").unionByName(members.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("uid").alias("a"), F.col("uid").alias("b")))
         x = members.select(F.col("uid").alias("a"), F.col("id").alias("x"))
         y = members.select(F.col("uid").alias("b"), F.col("id").alias("y"))
-        both = across.join(x, "a").join(y, "b").where(F.col("x") != F.col("y"))
+        both = across.join(x, "a").join(y, "b").where((F.col("x") < F.col("y")) | (F.col("a") != F.col("b")) & (F.col("x") != F.col("y")))
         return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -118,12 +119,16 @@ ALONGSIDE = re.compile(
 )
 
 # Nominations, looked up as plain words and pieces of the lower-cased text: a text or segment without any has no span, filler, instruction or error.
-SPAN_CHARS = re.compile(r"[{}\[\]<>%@#_$|?]|\.{5}")
-SPAN_PIECES = ("xxx", "undefined", "null", "nan", "hh:mm", "yyyy", "jjjj", "aaaa", "dd/mm", "dd.mm", "dd-mm", "mm/dd", "mm.dd", "mm-dd", "tt.mm", "tt/mm", "tt-mm", *(x.lower() for x in ("Name Here", "Job Title", " Name")))
+SPAN_CHARS = re.compile(r"[{\[<%@#_$*?]|\.{5}")
+SPAN_SIGNS = re.compile(r"\{|\[|<[A-Za-zÀ-ÿ<%]|%[A-Za-z_%]|@@|#[A-Za-z_]|\*\||__|\?{3}|\.{5}")
+SPAN_PIECES = ("xxx", "undefined", "null", " nan", ":nan", "=nan", "hh:mm", "yyyy", "jjjj", "aaaa", "dd/mm", "dd.mm", "dd-mm", "mm/dd", "mm.dd", "mm-dd", "tt.mm", "tt/mm", "tt-mm", "name here", "job title", " name")
 FILLER_SIGNS = frozenset(w for w in FILLER_WORDS if len(w) > 4) | MASHED
-OPEN_PIECES = ("todo", "fixme", "tbd", "here", "hier", " ici", "aquí", "text", "copy", "content", "posting", "document", "test", "ignore", "disregard", "anzeige", "(add", "(insert", "(enter", "(describe", "(fill", "(write", "(list", "(include", "(ajouter", "(hier", "(añadir")
+OPEN_PIECES = (
+    "todo", "fixme", "tbd", " here", "hier ", "texte ici", "texto aquí", "(add", "(insert", "(enter", "(describe", "(fill", "(write", "(list", "(include", "(ajouter", "(hier", "(añadir",
+    "sample ", "dummy ", "filler ", "placeholder ", "example ", "trial ", "test ", "ignore this", "disregard this", "blindtext", "beispieltext", "mustertext", "testanzeige", "texte d", "texte factice", "texto de ",
+)
 ERROR_PIECES = (
-    "not found", "gateway", "forbidden", "server error", "unavailable", "unauthorized", "bad request", "denied", "too many", "blocked", "connection", "fehler", "erreur", "error", "be found", "no longer", "not exist", "n't exist", "n’t exist",
+    "not found", "gateway", "forbidden", "unavailable", "unauthorized", "request", "denied", "too many", "blocked", "connection", "fehler", "erreur", "error", "be found", "no longer", "not exist", "n't exist", "n’t exist",
     "gefunden", "existiert", "verfügbar", "encontrada", "existe", "encuentra", "disponible", "introuvable", "trouvée", "trovata", "oops", "ups", "hoppla", "went wrong", "script", "cookies", "browser", "human", "robot", "slow down", "permission",
     "your access", "is down", "currently", "temporarily", "offline", "is unable", "maintenance", "session", "traceback", "exception", "fault",
 )
@@ -136,7 +141,7 @@ _HEAD = re.compile(BULLET)
 JAVA_SPAN = "(?iU)" + "|".join(SPANS.values())
 # Runs of capitalised words behind the first one, and numbers: what differs between filled records of a template.
 VALUES = r"(?<=\S\s)\p{Lu}[\p{L}\p{M}\p{N}'’&-]*(?:\s\p{Lu}[\p{L}\p{M}\p{N}'’&-]*)*|\d+(?:[.,:]\d+)*"
-FOUND = "m string, lo long, hi long, unit string, skeleton long, before string, after string, value string, kind string"
+FOUND = "m string, segment string, lo long, hi long, unit string, before string, after string, value string, kind string"
 
 
 def segments(text: str) -> list[str]:
@@ -223,32 +228,33 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans, instructions and filler of distinct nominated segments."""
     for batch in batches:
         rows: list[tuple] = []
-        for m, segment, shape, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("m", "segment", "skeleton", "lo", "hi"))):
-            head = (m, lo, hi)
+        for m, segment, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("m", "segment", "lo", "hi"))):
+            head = (m, segment, lo, hi)
             if OPEN_SEGMENT.fullmatch(segment):
-                rows.append((*head, "slot", shape, "^", "$", m, "instruction"))
+                rows.append((*head, "slot", "^", "$", m, "instruction"))
                 continue
             if is_filler(segment):
-                rows.append((*head, "filler", shape, None, None, None, None))
+                rows.append((*head, "filler", None, None, None, None))
                 continue
             spans = [(s, span_kind(s)) for s in SPAN.finditer(segment)]
             if all(kind == "literal" for _, kind in spans) or SUBJECT.search(SPAN.sub(" ", segment)) or "{%" in segment:
                 continue
             for span, kind in spans:
                 before, after = SPAN.sub("*", segment[: span.start()]), SPAN.sub("*", segment[span.end() :])
-                rows.append((*head, "slot", shape, _literal(before, True), _literal(after, False), span[0].strip("[]<>{}$%@*|#= _").lower(), kind))
+                rows.append((*head, "slot", _literal(before, True), _literal(after, False), span[0].strip("[]<>{}$%@*|#= _").lower(), kind))
         columns = list(zip(*rows)) if rows else [()] * 9
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-        names = ["m", "lo", "hi", "unit", "skeleton", "before", "after", "value", "kind"]
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
+        names = ["m", "segment", "lo", "hi", "unit", "before", "after", "value", "kind"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-def _nominated(low: str, text: str) -> bool:
-    """Whether there may be a span, filler or an instruction in ``text``, whose lower case is ``low``."""
-    if SPAN_CHARS.search(text) or _any_of(SPAN_PIECES, low) or _any_of(OPEN_PIECES, low):
-        return True
+def _has_span(low: str, text: str) -> bool:
+    return SPAN_CHARS.search(text) is not None and SPAN_SIGNS.search(text) is not None or _any_of(SPAN_PIECES, low)
+
+
+def _has_filler(low: str) -> bool:
     words = low.split()
-    return not FILLER_SIGNS.isdisjoint(words) or any(a == b == c == d for a, b, c, d in zip(words, words[1:], words[2:], words[3:]))
+    return not FILLER_SIGNS.isdisjoint(words) or sum(map(eq, words, words[1:])) > 2
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,15 +263,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uids, kept, pages = [], [], []
         for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist()):
             low = text.lower()
-            named, error = _nominated(low, text), _any_of(ERROR_PIECES, low)
-            if not (named or error):
+            span, filler, opened, error = _has_span(low, text), _has_filler(low), _any_of(OPEN_PIECES, low), _any_of(ERROR_PIECES, low)
+            if not (span or filler or opened or error):
                 continue
             parts = segments(text)
-            found = list({p: None for p in parts if _nominated(p.lower(), p)}) if named else []
+            found = [p for p in parts if span and _has_span(p.lower(), p) or filler and _has_filler(p.lower()) or opened and (OPEN_SEGMENT.fullmatch(p) or TRIAL.fullmatch(p))]
             page = page_of(parts) if error else None
             if found or page is not None:
                 uids.append(uid)
-                kept.append(found)
+                kept.append(list(dict.fromkeys(found)))
                 pages.append(page)
         arrays = [pa.array(uids, pa.int64()), pa.array(kept, pa.list_(pa.string())), pa.array(pages, pa.string())]
         yield pa.RecordBatch.from_arrays(arrays, ["uid", "nominated", "page"])
@@ -285,10 +291,9 @@ def find_residue(df: DataFrame, key: Column, text: Column) -> DataFrame:
     nominated = nominated.withColumn("m", F.lower(F.regexp_replace(F.regexp_replace("segment", r"\s+", " "), r"\d+", "#")))
     # Counts of different texts only need to tell one from more, so the least and greatest hash do, combined before the shuffle.
     distinct = nominated.groupBy("m").agg(F.min("segment").alias("segment"), F.min("uid").alias("lo"), F.max("uid").alias("hi"))
-    marks = distinct.select("m", "segment", shape(F.regexp_replace("segment", JAVA_SPAN, "*")).alias("skeleton"), "lo", "hi").mapInArrow(_marks, FOUND)
-    marks = materialize(marks, "marks")
+    marks = materialize(distinct.select("m", "segment", "lo", "hi").mapInArrow(_marks, FOUND), "marks")
 
-    slots = marks.where(F.col("unit") == "slot")
+    slots = marks.where(F.col("unit") == "slot").withColumn("skeleton", shape(F.regexp_replace("segment", JAVA_SPAN, "*")))
     several = F.col("lo") < F.col("hi")
     places = slots.groupBy("before", "after").agg((F.min("value") < F.max("value")).alias("varies"), (F.min("lo") < F.max("hi")).alias("several"))
     varied = places.where("varies and several").select("before", "after")
