@@ -70,3 +70,27 @@ def test_one_class_of_many_copies(spark):
     links = found.links()
     assert links.count() == 9 * 8 // 2 + 9
     assert found.classes(links).where("copies = 1000 and links = 9").count() == 1000
+
+
+def test_large_family_of_edited_copies(spark):
+    """A third of all records edited from one text: common to many, yet no link is lost to the weights of common shingles."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    rows = [(i, " ".join([rng.choice(vocabulary) for _ in range(120)])) for i in range(160)]
+    for i in range(80):
+        edited = list(base)
+        for _ in range(rng.randrange(1, 12)):
+            edited[rng.randrange(len(edited))] = rng.choice(vocabulary)
+        rows.append((1000 + i, " ".join(edited)))
+    df = spark.createDataFrame(rows, "id long, t string")
+    found = NearDuplicates(df, F.col("id"), F.col("t"), k=3, threshold=0.45)
+    got = {(r.id_a, r.id_b) for r in found.pairs(found.links()).collect()}
+    expected = {(a, b) for x, (a, ta) in enumerate(rows) for b, tb in rows[x + 1 :] if share(ta, tb, 3) >= 0.45}
+    assert got <= expected and len(got) >= 0.999 * len(expected) > 2000
+    exact = {(r.id_a, r.id_b) for r in found.pairs(found.links(exact=True)).collect()}
+    assert exact == expected
+
+
+def test_miss_chance():
+    assert NearDuplicates.miss_chance(0.45) < 0.003 and NearDuplicates.miss_chance(0.8) < 1e-9 and NearDuplicates.miss_chance(0) == 1

@@ -9,19 +9,22 @@ replicated to the seven anchors (code word, symbols on its support) that it
 reaches within covering radius plus threshold, and records are compared per
 anchor. Symbols are minhashes rather than bits because at a similarity of 0.45
 unrelated records differ in half of all bits, so that balls of binary words
-would cover most anchors.
+would cover most anchors. Shingles that more than three records in a hundred
+hold weigh an eighth in the fingerprint (one counting pass finds them), so
+that common phrases alone rarely make an anchor and none is held by many. A
+record half of whose shingles are common belongs to a large family of edited
+copies and has a second fingerprint in which all weigh alike.
 
 Records with equal shingle sets are one class, named by a hash of the set, and
 meet at an anchor once. Pairs of classes found are thinned by an estimate from
 their fingerprints and then checked on the shingle sets of their whole texts.
-What an anchor may miss is stated by ``miss_chance``; ``exact=True`` takes
-candidates from shared rare shingles instead and misses nothing.
+``miss_chance`` states what anchors may miss; ``exact=True`` takes candidates
+from shared rare shingles instead and misses nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 from functools import partial
 from math import comb
@@ -35,9 +38,11 @@ from weirflow.session import materialize
 
 # Supports of the weight-3 words of the [7,4] Hamming code, the lines of the Fano plane.
 SUPPORTS = ((0, 1, 3), (1, 2, 4), (2, 3, 5), (3, 4, 6), (0, 4, 5), (1, 5, 6), (0, 2, 6))
-BLOCKS = 10
+BLOCKS = 12
 SYMBOLS = BLOCKS * 7
-WORD = re.compile(r"[^\W_]+")
+COMMON_SHARE, COMMON_MOST, COMMON_SHIFT = 0.03, 65_536, 3  # parameters of the fingerprint only: links don't depend on them
+COUNTED_AT_ONCE = 4_000_000
+_BREAKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _SEED.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = _SEED.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -51,8 +56,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value
 
 
@@ -65,11 +70,16 @@ class Shingler:
         self.k, self.known = k, _WordHashes()
 
     def words(self, text: str | None) -> np.ndarray:
-        """Hashes of the words of a text in order."""
-        words = WORD.findall((text or "").lower())
+        """Hashes of the words of a text in order: maximal runs of letters and digits, lower-cased."""
+        low = (text or "").lower()
+        if not low.isascii():
+            for mark in set(low):
+                if mark > "\x7f" and not mark.isalnum():
+                    low = low.replace(mark, " ")
+        words = low.encode("utf-8", "surrogatepass").translate(_BREAKS).split()
         if len(self.known) > self.KEPT:
             self.known.clear()
-        return np.array(list(map(self.known.__getitem__, words)), np.uint64)
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     def runs(self, ids: np.ndarray) -> np.ndarray:
         """Hashes of all runs, repeated ones too."""
@@ -86,31 +96,63 @@ class Shingler:
         return found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    exact = Shingler(k)
+def _frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Shingles with the number of texts that hold them, less those too rare in a run of texts to be common; and the number of texts."""
+    shingle = Shingler(k)
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        kept = n >= max(2.0, len(sets) * COMMON_SHARE / 4)
+        items, counts = [*found[kept].view(np.int64).tolist(), None], [*n[kept].tolist(), len(sets)]
+        return pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(counts, pa.int64())], ["item", "n"])
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            s = shingle.shingles(shingle.words(text))
+            if len(s):
+                held.append(s)
+                if sum(map(len, held[-64:])) > COUNTED_AT_ONCE or len(held) % 4096 == 0 and sum(map(len, held)) > COUNTED_AT_ONCE:
+                    yield counted(held)
+                    held = []
+    if held:
+        yield counted(held)
+
+
+def _packed(low: np.ndarray) -> tuple[bytes, bytes]:
+    """Symbols of 16 bits, and four bits of each, two symbols a byte."""
+    symbols = ((low >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2")
+    bits = (symbols & 15).astype(np.uint8)
+    return symbols.tobytes(), (bits[::2] | (bits[1::2] << 4)).tobytes()
+
+
+def _least(items: np.ndarray) -> np.ndarray:
+    low = np.full(SYMBOLS, ~np.uint64(0))
+    for at in range(0, len(items), 2048):
+        low = np.minimum(low, (_MUL * items[at : at + 2048, None]).min(axis=0))
+    return low
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    shingle = Shingler(k)
+    top = np.uint64(64 - COMMON_SHIFT)
     for batch in batches:
-        ids, classes, words = [], [], []
+        rows = []
         for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-            s = exact.shingles(exact.words(text))
+            s = shingle.shingles(shingle.words(text))
             if not len(s):
                 continue
-            low = np.full(SYMBOLS, ~np.uint64(0))
-            for at in range(0, len(s), 2048):
-                low = np.minimum(low, (_MUL * s[at : at + 2048, None]).min(axis=0))
-            ids.append(key)
-            classes.append(_class_of(s))
-            words.append(((low >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2").tobytes())
-        arrays = [pa.array(ids, batch.schema.field(0).type), pa.array(classes, pa.int64()), pa.array(words, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["id", "uid", "word"])
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Four bits of each symbol, two symbols a byte."""
-    for batch in batches:
-        if batch.num_rows:
-            bits = (_matrix(batch.column("word"), "<u2") & 15).astype(np.uint8)
-            packed = bits[:, ::2] | (bits[:, 1::2] << 4)
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array([row.tobytes() for row in packed], pa.binary())], ["uid", "sketch"])
+            held = common[np.searchsorted(common, s) % len(common)] == s if len(common) else np.zeros(len(s), bool)
+            rare, often = _least(s[~held]), _least(s[held])
+            name = _class_of(s)
+            plain, sketch = _packed(np.minimum(rare, often))
+            lighter = np.where(often >> top, ~np.uint64(0), often << np.uint64(COMMON_SHIFT))
+            rows.append((key, name, 0, _packed(np.minimum(rare, lighter))[0], sketch))
+            if 2 * held.sum() >= len(s):
+                rows.append((key, name, 1, plain, sketch))
+        columns = list(zip(*rows)) if rows else [()] * 5
+        types = [batch.schema.field("id").type, pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "uid", "plain", "word", "sketch"])
 
 
 def _class_of(shingles: np.ndarray) -> int:
@@ -126,8 +168,6 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         words, uid = _matrix(batch.column("word"), "<u2").astype(np.uint64), batch.column("uid").to_numpy()
-        uid, first = np.unique(uid, return_index=True)
-        words = words[first]
         for block in range(BLOCKS):
             keys = []
             for number, support in enumerate(SUPPORTS):
@@ -187,11 +227,25 @@ class NearDuplicates:
         self._source = df.select(id_.alias("id"), text.alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
         self._k, self._threshold = k, threshold
         kind = self._source.schema["id"].dataType.simpleString()
-        words = _mapped(self._source, _fingerprints, f"id {kind}, uid long, word binary", k=k)
-        #: (id, uid, word), one row for each record; uid names its class.
-        self.records = materialize(words, "fingerprints")
-        #: One row for each class, written so that all uses read the same shuffle.
-        self.prints = materialize(self.records.select("uid", "word").dropDuplicates(["uid"]), "prints")
+        words = _mapped(self._source, _fingerprints, f"id {kind}, uid long, plain int, word binary, sketch binary", k=k, common=self._common())
+        words = materialize(words, "fingerprints")
+        #: (id, uid), one row for each record; uid names its class.
+        self.records = words.where("plain = 0").select("id", "uid")
+        #: One row for each class and kind of fingerprint, written so that all uses read the same.
+        self.prints = materialize(words.select("uid", "plain", "word", "sketch").dropDuplicates(["uid", "plain"]), "prints")
+
+    def _common(self) -> np.ndarray:
+        """Hashes of the shingles that at least a ``COMMON_SHARE`` of the records hold, the most frequent ones if they exceed ``COMMON_MOST``.
+
+        They are at most mean size / (0.75 COMMON_SHARE) many in any collection.
+        """
+        seen = _mapped(self._source.select("text"), _frequent, "item long, n long", k=self._k).groupBy("item").agg(F.sum("n").alias("n"))
+        seen = materialize(seen, "common")
+        total = seen.where(F.col("item").isNull()).select("n").first()
+        # A quarter of the bar may have been left out a run of texts; in small collections two texts are no share.
+        bar = max(8.0, 0.75 * COMMON_SHARE * (total.n if total else 0))
+        rows = seen.where(F.col("item").isNotNull() & (F.col("n") >= bar)).orderBy(F.col("n").desc(), "item").limit(COMMON_MOST).select("item").collect()
+        return np.sort(np.array([r.item for r in rows], np.int64).view(np.uint64))
 
     def least_alike(self) -> int:
         """Equal sketch symbols below which a pair can't be a link but by a chance of under one in a thousand."""
@@ -200,7 +254,7 @@ class NearDuplicates:
 
     @staticmethod
     def miss_chance(share: float) -> float:
-        """Chance that a pair with that share of common shingles meets at no anchor."""
+        """Chance that a pair meets at no anchor, by its share of (weighted) shingles; at 0.45 0.002, at 0.5 0.0003."""
         alike = [0.0, 0.0, 0.0, 7 / 35, 28 / 35, 1.0, 1.0, 1.0]  # of the sets of i equal symbols, those that hold a support
         meet = sum(comb(7, i) * share**i * (1 - share) ** (7 - i) * part for i, part in enumerate(alike))
         return (1 - meet) ** BLOCKS
@@ -212,10 +266,10 @@ class NearDuplicates:
         anchor is split by adaptive skew handling, which only takes shuffles
         that the join itself asks for.
         """
-        at = _mapped(self.prints, _anchors, "anchor long, uid long")
+        at = _mapped(self.prints.select("uid", "word"), _anchors, "anchor long, uid long")
         pairs = at.alias("x").join(at.alias("y"), "anchor").where(F.col("x.uid") < F.col("y.uid"))
         pairs = pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
-        sketch = _mapped(self.prints, _sketches, "uid long, sketch binary")
+        sketch = self.prints.where("plain = 0").select("uid", "sketch")
         pairs = pairs.join(sketch.select(F.col("uid").alias("a"), F.col("sketch").alias("wa")), "a").dropDuplicates(["a", "b"])
         pairs = pairs.join(sketch.select(F.col("uid").alias("b"), F.col("sketch").alias("wb")), "b")
         return _mapped(pairs.select("a", "b", "wa", "wb"), _alike, "a long, b long", least=self.least_alike())
