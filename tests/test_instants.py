@@ -56,6 +56,20 @@ def test_join_keeps_rows_and_columns(spark, tmp_path):
     assert normalise_instants(df.limit(0), "raw", "tz").count() == 0
 
 
+def test_unknown_zone_denotes_nothing():
+    assert parse_instant("2026-01-02 03:04:05", "Mars/Base") is None and parse_instant("2026-01-02T03:04:05Z", "Mars/Base") == at("2026-01-02T03:04:05")
+    assert parse_instant("2026-01-02 03:04:05[Mars/Base]", None) is None
+
+
+def test_source_is_part_of_the_key(spark, tmp_path):
+    df = spark.createDataFrame([("a", "2025-01-01", None), ("b", "2025-01-01", None), (None, None, None)], "tab string, raw string, tz string")
+    path = str(tmp_path / "dictionary")
+    got = normalise_instants(df, "raw", "tz", path=path, source=F.col("tab"))
+    assert sorted((r.tab or "", r.utc_us or 0) for r in got.collect()) == [("", 0), ("a", at("2025-01-01")), ("b", at("2025-01-01"))]
+    spark.read.parquet(path).write.mode("append").parquet(path)  # as two runs at once leave it
+    assert normalise_instants(df, "raw", "tz", path=path, source=F.col("tab")).count() == 3
+
+
 def test_complete(spark):
     forms = ["1716362355000", "2026-03-08T08:30:27Z", "2026-03-08T08:30:27.5+01:00", "2026-03-08T08:30:27", " 1716362355000", "2026-03-08T08:30:27Z\n", "171636235500"]
     df = spark.createDataFrame([(f,) for f in forms], "raw string").select(is_complete(F.col("raw")).alias("c"))

@@ -3,12 +3,12 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from weirflow.functions.instants import parse_instant
-from weirflow.llm.near_duplicates import NearDuplicates
-from weirflow.llm.residue import find_residue
-from weirflow.operators import relevance
+from weirflow import session
+from weirflow.operators import relevance, resolve
 from weirflow.plans import catalogue_more
 
 LONG = "plain words of the daily work " * 60  # 1,800 characters
@@ -35,22 +35,6 @@ def test_luhn_of_wrapped_and_single_results(spark, tmp_path):
     assert {(r.siren, r.valid) for r in catalogue_more.luhn_checks(spark, sf).collect()} == {("732829320", True), ("732829321", False), ("552100554", True)}
 
 
-def test_long_error_page(spark):
-    """A page that is nothing but an error counts at any length; a long text of other content doesn't."""
-    trace = "Exception in thread main\n" + "at com.x.Y(Y.java:12)\n" * 200
-    real = "You report to the head of clinical and guide 6 engineers across Seville and Perth.\n" * 40
-    df = spark.createDataFrame([(0, trace), (1, trace + real), (2, real + trace)], "id int, text string")
-    assert {tuple(r) for r in find_residue(df, F.col("id"), F.col("text")).collect()} == {(0, "page")}
-
-
-def test_short_near_duplicates(spark):
-    """A text of k words and one of k + 1 that hold the same run share half of their runs."""
-    rows = [(f"{i}{side}", f"a{i} b{i} c{i}" + end) for i in range(40) for side, end in (("x", ""), ("y", f" d{i}"))]
-    found = NearDuplicates(spark.createDataFrame(rows, "id string, t string"), F.col("id"), F.col("t"), k=3, threshold=0.45)
-    pairs = {(r.id_a, r.id_b) for r in found.pairs(found.links()).collect()}
-    assert pairs <= {(f"{i}x", f"{i}y") for i in range(40)} and len(pairs) >= 38
-
-
 def test_late_and_long_instants():
     assert parse_instant("9999-12-31", None) == 253402214400000000
     assert parse_instant("9999-12-31T23:59:59-05:00", None) == 253402318799000000
@@ -63,3 +47,23 @@ def test_windows_are_split_down_to_seconds(spark, tmp_path):
     sf = saved(spark, tmp_path, "events", [(t,) for t in moments], "ts timestamp_ntz")
     got = sorted((str(r.start)[8:], r.n, r.width) for r in catalogue_more.split_windows(spark, sf).collect())
     assert got == [("01 09:00:00", 330, "second"), ("01 09:00:01", 2, "second"), ("01 09:01:00", 5, "minute"), ("01 10:00:00", 7, "hour"), ("02 00:00:00", 320, "day")]
+
+
+def test_components_that_do_not_converge(spark):
+    nodes = spark.range(64).select(F.col("id").alias("n"))
+    edges = nodes.where("n > 0").select(F.col("n").alias("a"), (F.col("n") - 1).alias("b"))
+    assert resolve.connected_components(nodes, edges).where("component = 0").count() == 64
+    with pytest.raises(RuntimeError):
+        resolve.connected_components(nodes, edges, most_rounds=1)
+
+
+def test_shared_folder(spark):
+    held = session.materialize(spark.range(3), "t")
+    folder = session.run_dir(spark)
+    assert held.count() == 3 and session.path_exists(spark, folder)
+    session.release(spark)
+    assert not session.path_exists(spark, folder) and session.run_dir(spark) != folder
+    session.require_one_machine("local[8]")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,4,1024]"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            session.require_one_machine(master)

@@ -6,7 +6,7 @@ import re
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal, InvalidOperation
 from functools import lru_cache
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 EPOCH = datetime(1970, 1, 1)
 MICRO = timedelta(microseconds=1)
@@ -71,13 +71,13 @@ _REST = re.compile(
 
 @lru_cache(maxsize=512)
 def zone_of(name: str | None):
-    """The zone of that name; UTC for null, empty and unknown names."""
+    """The zone of that name; UTC for null and empty ones, None for names that no zone has."""
     if not name or name.upper() in ("UTC", "GMT", "Z"):
         return timezone.utc
     try:
         return ZoneInfo(name)
-    except Exception:
-        return timezone.utc
+    except (ZoneInfoNotFoundError, ValueError, OSError):
+        return None
 
 
 def _utc_us(wall: datetime, offset: timedelta) -> int:
@@ -95,7 +95,7 @@ def _in_zone(wall: datetime, zone) -> int:
 def _abbreviated(wall: datetime, abbreviation: str, zone) -> int | None:
     """An abbreviation means what the source's zone means by it, else its usual offset."""
     abb = abbreviation.upper()
-    if zone is not timezone.utc:
+    if zone is not None and zone is not timezone.utc:
         for fold in (0, 1):
             local = wall.replace(tzinfo=zone, fold=fold)
             if local.tzname() == abb:
@@ -143,7 +143,10 @@ def _calendar(text: str, tz: str | None):
 
 
 def parse_instant(raw: str | None, tz: str | None) -> int | None:
-    """Epoch microseconds of ``raw`` written in zone ``tz`` (null: UTC), or None if it denotes no instant from 1995 on."""
+    """Epoch microseconds of ``raw`` written in zone ``tz`` (null: UTC), or None if it denotes no instant from 1995 on.
+
+    A wall time in a zone of unknown name denotes nothing: no offset is guessed.
+    """
     if raw is None:
         return None
     text = raw.strip().strip("\ufeff\u200b").strip()
@@ -196,4 +199,4 @@ def _wall(found, tz: str | None) -> int | None:
         return _abbreviated(wall, rest["abb"], zone)
     if rest["zone"]:
         zone = zone_of(rest["zone"])
-    return _in_zone(wall, zone)
+    return None if zone is None else _in_zone(wall, zone)

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_PATHS = 20_000
 
@@ -56,20 +57,30 @@ def _walk(value: object, path: str, found: set[tuple[str, str]]) -> None:
             found.add((p, "boolean" if isinstance(v, bool) else "string" if isinstance(v, str) else "number"))
 
 
+def _object(text: str | None) -> dict | None:
+    """The JSON object of a text, even one wrapped as a JSON string."""
+    try:
+        value = json.loads(text)
+        if isinstance(value, str):
+            value = json.loads(value)
+    except (ValueError, TypeError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
+
+
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: set[tuple[str, str]] = set()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            try:
-                _walk(json.loads(text), "", found)
-            except (ValueError, TypeError, RecursionError):
-                continue
+            value = _object(text)
+            if value is not None:
+                _walk(value, "", found)
     rows = sorted(found)
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["path", "kind"])
 
 
 def infer_merged_schema(df: DataFrame, json_column: str, max_paths: int = MAX_PATHS) -> MergedSchema:
-    """The merged schema of all records of a JSON column.
+    """The merged schema of all records of a JSON column; texts that hold no JSON object add nothing.
 
     Each partition sends its distinct paths only. More than ``max_paths``
     paths mean that data stand in field names, which is an error.
@@ -83,12 +94,27 @@ def infer_merged_schema(df: DataFrame, json_column: str, max_paths: int = MAX_PA
     return MergedSchema({p: frozenset(k) for p, k in kinds.items()})
 
 
+def schema_of_type(kind: T.DataType, path: str = "") -> dict[str, frozenset[str]]:
+    """Paths and kinds of a column type, for records that are no text; no row is read."""
+    if isinstance(kind, T.StructType):
+        found = {path: frozenset({"object"})}
+        for f in kind.fields:
+            found |= schema_of_type(f.dataType, f"{path}.{f.name}" if path else f.name)
+        return found
+    if isinstance(kind, T.ArrayType):
+        below = schema_of_type(kind.elementType, path)
+        return below | {path: below[path] | {"array"}}
+    return {path: frozenset({"string" if isinstance(kind, T.StringType) else "boolean" if isinstance(kind, T.BooleanType) else "number"})}
+
+
 def json_object(text: Column) -> Column:
-    """The text's JSON object as a variant, even one wrapped as a JSON string; null if it is none."""
-    first = F.try_parse_json(text)
-    inner = F.try_variant_get(first, "$", "string")
-    unwrapped = F.when(F.schema_of_variant(first) == "STRING", F.try_parse_json(inner)).otherwise(first)
-    return F.when(F.schema_of_variant(unwrapped).startswith("OBJECT"), unwrapped)
+    """The text's JSON object as a variant, even one wrapped as a JSON string; null if it is none.
+
+    The first sign tells objects from other values, so each text is parsed once.
+    """
+    is_object = lambda t: t.rlike(r"\A[ \t\r\n]*\{")
+    inner = F.try_variant_get(F.when(text.rlike(r"\A[ \t\r\n]*\""), F.try_parse_json(text)), "$", "string")
+    return F.when(is_object(text), F.try_parse_json(text)).when(is_object(inner), F.try_parse_json(inner))
 
 
 def _path(parts: list[str]) -> str:
@@ -97,9 +123,8 @@ def _path(parts: list[str]) -> str:
 
 def elements(value: Column) -> Column:
     """The elements of an array; any other value but null as an array of one."""
-    kind = F.schema_of_variant(value)
     whole = F.try_variant_get(value, "$", "array<variant>")
-    return F.when(value.isNull() | F.is_variant_null(value), None).when(kind.startswith("ARRAY"), whole).otherwise(F.array(value))
+    return F.coalesce(whole, F.when(value.isNotNull() & ~F.is_variant_null(value), F.array(value)))
 
 
 def flatten_records(roots: DataFrame, value: str, schema: MergedSchema, key: Column) -> dict[str, DataFrame]:
@@ -134,8 +159,8 @@ def flatten_records(roots: DataFrame, value: str, schema: MergedSchema, key: Col
 def field(column: str, *parts: str) -> Column:
     """The scalar at a path of a variant column as text; null for objects, arrays and what is missing."""
     at = F.try_variant_get(column, _path(list(parts)), "variant")
-    kind = F.schema_of_variant(at)
-    return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), None).otherwise(F.try_variant_get(at, "$", "string"))
+    whole = F.try_variant_get(at, "$", "array<variant>").isNotNull() | F.try_variant_get(at, "$", "map<string,variant>").isNotNull()
+    return F.when(~whole, F.try_variant_get(at, "$", "string"))
 
 
 def scalar_columns(child: DataFrame, path: str, schema: MergedSchema) -> DataFrame:

@@ -58,7 +58,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
 
     Alternating large-star and small-star steps. Each round's edges are written
     to the shared folder, which cuts the lineage; only their number and a
-    checksum come to the driver.
+    checksum come to the driver. The rounds grow with the logarithm of the
+    number of nodes; not to have converged after ``most_rounds`` is an error.
     """
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     links = materialize(links, "links")
@@ -78,6 +79,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     roots = links.groupBy("u").agg(F.min("v").alias("component"))
     out = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct().join(roots, F.col("node") == F.col("u"), "left")
     return out.select("node", F.coalesce("component", F.col("node")).alias("component"))

@@ -31,16 +31,21 @@ def _time_values(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _normalised(spark: SparkSession, values: DataFrame) -> DataFrame:
+    """With ``utc_us`` from the dictionary that all runs in the shared folder extend."""
+    return instants.normalise_instants(values, "raw", "tz", path=instants.dictionary_path(spark), source=F.col("tab"))
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Values that denote an instant and aren't complete, with that instant."""
     values = _time_values(spark, sf).where(F.col("raw").isNotNull() & ~instants.is_complete(F.col("raw")))
-    out = instants.normalise_instants(values, "raw", "tz").where(F.col("utc_us").isNotNull())
+    out = _normalised(spark, values).where(F.col("utc_us").isNotNull())
     return out.select("tab", "rec", "fld", F.col("pos").cast("int").alias("pos"), "utc_us").distinct()
 
 
 def p1_all_instants(spark: SparkSession, sf: str) -> DataFrame:
     """How many values of each field denote an instant, and from when to when."""
-    out = instants.normalise_instants(_time_values(spark, sf).where(F.col("raw").isNotNull()), "raw", "tz")
+    out = _normalised(spark, _time_values(spark, sf).where(F.col("raw").isNotNull()))
     return out.groupBy("tab", "fld").agg(
         F.count("raw").alias("texts"), F.count("utc_us").alias("instants"), F.min("utc_us").alias("first_us"), F.max("utc_us").alias("last_us")
     )
@@ -67,15 +72,19 @@ def p2_change_counts(spark: SparkSession, sf: str) -> DataFrame:
 def pay_factors(spark: SparkSession, sf: str) -> DataFrame:
     """Factors from amounts in a currency a period to euros a year, unit `CUR/period`."""
     graph = units.ConversionGraph()
-    rates = {r.currency: r.obs_value for r in units.bounded_rows(table(spark, sf, "ecb_rates")) if r.currency and r.obs_value}
+    quotes = units.bounded_rows(table(spark, sf, "ecb_rates"))
+    newest: dict[tuple[str, str], object] = {}
+    for r in sorted((r for r in quotes if r.currency and r.obs_value), key=lambda r: (r.time_period or "", r.obs_value)):
+        newest[r.currency, r.currency_denom or "EUR"] = r  # the newest day of each pair of currencies
+    codes = sorted({"EUR", *(c for pair in newest for c in pair)})
     periods = {r.period: r.per_year for r in units.bounded_rows(table(spark, sf, "pay_periods")) if r.period and r.per_year}
     for period, per_year in periods.items():
-        for code in ["EUR", *rates]:
+        for code in codes:
             if period != "year":
                 graph.add(f"{code}/{period}", f"{code}/year", per_year)
-    for code, rate in rates.items():
-        if code != "EUR":
-            graph.add("EUR/year", f"{code}/year", str(rate))
+    for (code, base), r in newest.items():
+        if code != base:  # quotes against other currencies than the euro close cycles, which are checked
+            graph.add(f"{base}/year", f"{code}/year", str(r.obs_value))
     return graph.factors(spark, "EUR/year")
 
 
@@ -139,9 +148,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _record_tables(spark: SparkSession, df: DataFrame, text: str, key: str) -> dict[str, DataFrame]:
     parsed = df.select(F.col(key).cast("string").alias("key"), nested.json_object(F.col(text)).alias("record"))
-    parsed = materialize(parsed.where(F.col("record").isNotNull()).select("key", F.to_json("record").alias("record")), "records")
-    schema = nested.infer_merged_schema(parsed, "record")
-    return nested.flatten_records(parsed.withColumn("record", F.parse_json("record")), "record", schema, F.col("key"))
+    parsed = materialize(parsed.where(F.col("record").isNotNull()), "records")
+    return nested.flatten_records(parsed, "record", nested.infer_merged_schema(df, text), F.col("key"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,8 +163,9 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     hits = _record_tables(spark, table(spark, sf, "fts_response"), "body", "resp_id")
     firms = _record_tables(spark, table(spark, sf, "search_airbus"), "body", "resp_id")
     jobs = table(spark, sf, "ashby_jobs").where(F.col("secondarylocations").isNotNull())
-    jobs = jobs.select("id", F.to_json(F.struct("secondarylocations"), {"ignoreNullFields": "false"}).alias("body"))
-    places = _record_tables(spark, jobs, "body", "id")
+    held = nested.MergedSchema(nested.schema_of_type(jobs.select("secondarylocations").schema))
+    jobs = jobs.select(F.col("id").alias("key"), F.to_variant_object(F.struct("secondarylocations")).alias("record"))
+    places = nested.flatten_records(jobs, "record", held, F.col("key"))
     siege = nested.field("_value", "adresse")
     parts = [
         *links(hits, "hits.hits", "hit", F.col("key"), nested.field("_value", "_id")),
