@@ -30,9 +30,10 @@ def found(spark, rows, **kw):
     return df, RepeatedLines(df, F.col("source_name"), F.col("id"), F.col("text"), **kw)
 
 
-@pytest.mark.parametrize("capacity", [4096, 8])
-def test_against_brute_force(spark, capacity):
-    """With a small capacity the summaries lose count and all lines of a source are counted instead."""
+@pytest.mark.parametrize(("capacity", "held"), [(4096, 400_000), (8, 400_000), (4096, 50)])
+def test_against_brute_force(spark, monkeypatch, capacity, held):
+    """With a small capacity the summaries lose count and all lines of a source are counted instead; early reports add up."""
+    monkeypatch.setattr(repeated_lines, "HELD_AT_ONCE", held)
     rng = random.Random(4)
     rows = []
     for i in range(600):
@@ -46,14 +47,41 @@ def test_against_brute_force(spark, capacity):
     assert {(r.source, r.key) for r in lines.found().collect()} == expected(rows)
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
-def test_removal(spark, monkeypatch, limit):
-    monkeypatch.setattr(repeated_lines, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_removal(spark, limit):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     rows = [("s", str(i), f"Own {'x' * i}\r\nShare this!\nEnd") for i in range(6)] + [("s", "null", None), (None, "0", "Share this!"), ("t", "0", "Share this!")]
     df, lines = found(spark, rows)
     clean = {(r.source_name, r.id): (r.text_clean, r.lines_removed, r.key) for r in without_lines(df, "source_name", "text", lines.found()).collect()}
     assert clean["s", "2"] == ("Own xx\r", 2, "clash") and clean["s", "null"][0] is None and clean[None, "0"][:2] == ("Share this!", 0) and clean["t", "0"][:2] == ("Share this!", 0)
     assert len(clean) == 9
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_state_of_a_task_is_bounded():
+    kept = repeated_lines._Summaries(0.05, 16)
+    rng = random.Random(2)
+    for i in range(20_000):
+        kept.add(f"s{i % 3}", [rng.randrange(10**9) for _ in range(3)])
+        assert kept.held == sum(map(len, kept.counts.values())) <= 3 * 36
+    batch = kept.report()
+    assert batch.num_rows <= 3 * 37 and kept.held == 0 and not kept.texts
+
+
+def test_clean_texts_against_brute_force(spark):
+    """p5_clean over its whole table: no confirmed line is left, all others stand in order."""
+    from weirflow.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    jobs = spark.read.parquet(f"{sf}/boards_jobs.parquet").select("job_id", "company_board", "description_text").collect()
+    gone = expected([(r.company_board, r.job_id, r.description_text) for r in jobs])
+    want = []
+    for r in jobs:
+        lines = r.description_text.split("\n") if r.description_text is not None else None
+        kept = [x for x in lines if (r.company_board, key(x)) not in gone] if lines is not None else None
+        want.append((r.job_id, r.company_board, "\n".join(kept) if kept is not None else None, len(lines) - len(kept) if kept is not None else 0))
+    got = [tuple(r) for r in queries.p5_clean(spark, sf).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and any(n for *_, n in want)
 
 
 def test_empty(spark):

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weirflow.llm import mixture, tokens
+from weirflow.llm import mixture, queries, tokens
 
 TEXTS = ["", None, " ", "Hello  world", "it's\n\n\tdon't ", "<|endoftext|> x", "naïve Ünïcode 日本語 한국어 emoji 🎉🎉", "ߊ rare ՘ ₏ letters ꟎ 1²³½ ١٢٣", "a" * 5000, "x y " * 20_000, "​﻿zero", "é combining", "Hello  world"]
 
@@ -58,3 +58,29 @@ def test_empty_mix(spark):
         rates = mixture.mixing_rates(df, goals)
         mix = mixture.mixed(df, rates, F.col("id"))
         assert mix.count() == 0 and all(r.share == 0 for r in mixture.reached_shares(mix, rates).collect())
+
+
+def test_whole_corpus_against_the_library(spark):
+    """p7_ids, p8_shares and p8_mix over their whole tables, by the tokenizer's own library and plain arithmetic."""
+    sf = "/root/testdata/sf0.001"
+    library = Tokenizer.from_file(f"{tokens.default_tokenizer()}.json")
+    library.encode_special_tokens = True
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()
+    ids = {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids for r in docs}
+    assert {r.doc_id: list(r.ids) for r in queries.p7_ids(spark, sf).collect()} == ids
+    goals = {r.source: r for r in spark.read.parquet(f"{sf}/mix_targets.parquet").collect()}
+    sums = {s: sum(len(ids[r.doc_id]) for r in docs if r.source == s) for s in goals}
+    total = min(g.max_repeats * sums[s] / g.target_share for s, g in goals.items() if sums[s])
+    rates = {s: min(g.max_repeats, g.target_share * total / sums[s]) if sums[s] else 0.0 for s, g in goals.items()}
+    copies = {}
+    for r in queries.p8_mix(spark, sf).collect():
+        assert r.tokens == len(ids[r.doc_id])
+        copies.setdefault((r.doc_id, r.source), []).append(r.copy)
+    for r in docs:
+        rate = rates.get(r.source, 0.0)
+        got = sorted(copies.get((r.doc_id, r.source), []))
+        assert got == list(range(1, len(got) + 1)) and int(rate) <= len(got) <= int(rate) + (rate > int(rate))
+    shares = {r.source: r for r in queries.p8_shares(spark, sf).collect()}
+    used = {s: sum(len(ids[d]) * len(c) for (d, x), c in copies.items() if x == s) for s in goals}
+    for s in goals:
+        assert shares[s].rate == pytest.approx(rates[s]) and shares[s].mixed_tokens == used[s] and shares[s].share == pytest.approx(used[s] / sum(used.values()))

@@ -311,12 +311,12 @@ class NearDuplicates:
         return self.records.select("uid", "id").distinct()
 
     def classes(self, links: DataFrame) -> DataFrame:
-        """(id, uid, copies, links): each record with its class, the records in it and the classes linked to it."""
+        """(id, uid, first, copies, links): each record with its class, the class's least id, the records in it and the classes linked to it."""
         degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("links"))
         members = self.members()
-        copies = members.groupBy("uid").agg(F.count(F.lit(1)).alias("copies"))
+        copies = members.groupBy("uid").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
         out = members.join(copies, "uid").join(degree, "uid", "left")
-        return out.select("id", "uid", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+        return out.select("id", "uid", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
     def pairs(self, links: DataFrame) -> DataFrame:
         """(id_a, id_b), id_a < id_b: links spelled out for members, and members of one class with one another."""

@@ -103,13 +103,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
 
-def encode_corpus(df: DataFrame, key: Column, text: Column, path: str | None = None) -> DataFrame:
-    """(key, ids) of every row, without special tokens.
-
-    The ids of an empty and of a null text are the empty list. Rows with equal
-    or null keys each keep their own ids. Strings of special tokens in a text
-    are ordinary text.
-    """
+def _coded_words(df: DataFrame, key: Column, text: Column, path: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks of texts, their distinct words by place, and the ids of each distinct word of the corpus."""
     path = path or default_tokenizer()
     rows = df.select(key.alias("key"), text.alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -117,6 +112,17 @@ def encode_corpus(df: DataFrame, key: Column, text: Column, path: str | None = N
     blocks = materialize(rows.mapInArrow(partial(_blocks, path=path), schema), "blocks")
     slots = blocks.select("block", F.posexplode("words").alias("slot", "word"))
     coded = slots.select("word").distinct().mapInArrow(partial(_encode, path=path), "word string, ids array<int>")
+    return blocks, slots, coded
+
+
+def encode_corpus(df: DataFrame, key: Column, text: Column, path: str | None = None) -> DataFrame:
+    """(key, ids) of every row, without special tokens.
+
+    The ids of an empty and of a null text are the empty list. Rows with equal
+    or null keys each keep their own ids. Strings of special tokens in a text
+    are ordinary text.
+    """
+    blocks, slots, coded = _coded_words(df, key, text, path)
     back = slots.join(coded, "word").groupBy("block").agg(F.collect_list(F.struct("slot", "ids")).alias("coded"))
     back = back.select("block", F.transform(F.array_sort("coded"), lambda c: c["ids"]).alias("coded"))
     whole = blocks.select("block", "texts").join(back, "block", "left")
@@ -125,6 +131,20 @@ def encode_corpus(df: DataFrame, key: Column, text: Column, path: str | None = N
     return each.select(F.col("t.key").alias("key"), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
 
 
+def count_tokens(df: DataFrame, key: Column, text: Column, path: str | None = None) -> DataFrame:
+    """(key, tokens) of every row: how many ids ``encode_corpus`` gives, without putting them together.
+
+    Only lengths travel: each distinct word is encoded once, and a text's
+    tokens are the sum over its places. Empty and null texts have 0.
+    """
+    blocks, slots, coded = _coded_words(df, key, text, path)
+    back = slots.join(coded.select("word", F.size("ids").alias("n")), "word").groupBy("block").agg(F.collect_list(F.struct("slot", "n")).alias("coded"))
+    back = back.select("block", F.transform(F.array_sort("coded"), lambda c: c["n"]).alias("coded"))
+    each = blocks.select("block", "texts").join(back, "block", "left").select("coded", F.explode("texts").alias("t"))
+    total = F.aggregate("t.at", F.lit(0).cast("long"), lambda acc, i: acc + F.get("coded", i))
+    return each.select(F.col("t.key").alias("key"), F.coalesce(total, F.lit(0)).alias("tokens"))
+
+
 def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
     """(id, bytes) of each token as hexadecimal digits; as many rows as the fixed vocabulary has."""
     path = path or default_tokenizer()
