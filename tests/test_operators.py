@@ -37,13 +37,27 @@ def test_levels(spark, title, level):
     ("said", "years"),
     [("3+ years of experience with SQL", 3), ("We have 20 years of experience", None), ("5-7 years working in sales", 5), ("up to 5 years of experience", None), ("at least two years of background in law", 2), ("18 years old", None), (None, None)],
 )
-def test_years(said, years):
-    assert classify.years_asked(said) == years
+def test_years(spark, said, years):
+    assert one(spark, classify.years_asked(F.col("s")), s=said) == years
+
+
+def test_years_below_wishes(spark):
+    text_ = "Nice to have:\n5 years of experience with Go\nRequirements:\n3 years of experience with SQL"
+    assert one(spark, classify.years_asked(F.col("s")), s=text_) == 3
+    assert one(spark, classify.years_asked(F.col("s")), s="Bonus\n5 years of experience") is None
 
 
 @pytest.mark.parametrize(("said", "offered"), [("Visa sponsorship available.", True), ("We are unable to sponsor visas.", False), ("Sponsorship may be considered.", None), ("A visa card", None), (None, None)])
-def test_visa(said, offered):
-    assert classify.visa_offered(said) is offered
+def test_visa(spark, said, offered):
+    assert one(spark, classify.visa_offered(F.col("s")), s=said) is offered
+
+
+def test_references_and_contacts(spark):
+    assert one(spark, text.decode_entities(F.col("s")), s="&amp;lt; &eacute;&#8364;&#x1F389; &nothing; &#0;") == "&lt; é€🎉 &nothing; &#0;"
+    assert one(spark, text.html_to_text(F.col("s")), s="<p>a&nbsp;&nbsp;b<br/>c < d</p>\n\n\n<table><tr><td>x</td></tr></table>") == "a b\nc < d\n\nx"
+    said = "Mail a.b+c@x-y.co.uk or jo (at) firm (dot) de; +44 (0)20 7946 0958, 212-555-0147, Tel: 030/123456, Contact: Eva Maria Sanz. Order 12345678 in 2026-11-02."
+    assert one(spark, text.redact_contacts(F.col("s")), s=said) == "Mail [email redacted] or [email redacted]; [phone redacted], [phone redacted], Tel: [phone redacted], Contact: [name redacted]. Order 12345678 in 2026-11-02."
+    assert one(spark, text.redact_contacts(F.col("s")), s=None) is None
 
 
 def test_filters_never_null(spark):

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weirflow.functions.text import match_key
 
@@ -64,54 +61,46 @@ def employment_type(text: Column) -> Column:
     return F.when(key != "", first_match(key, EMPLOYMENT_RULES, "other"))
 
 
-_NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten".split())}
-_YEARS = re.compile(
-    r"(?<![\w.])(?P<n>\d{1,2}|" + "|".join(_NUMBERS) + r")\s*(?P<plus>\+|plus)?\s*(?:(?:-|–|to|bis|à|or)\s*(?P<m>\d{1,2})\s*\+?\s*)?(?:years?|yrs?|jahren?|ans|années|años|anos)(?!\w)",
-    re.IGNORECASE,
-)
-_ABOUT_WORK = re.compile(r"experience|background|track record|expertise|working|erfahrung|expérience|experiencia", re.IGNORECASE)
-_NOT_WORK = re.compile(r"^\s*(?:old|of age|ago|in business|alt|contract|warranty)\b", re.IGNORECASE)
-_OF_COMPANY = re.compile(r"\b(?:we have|our|company|founded|since|history)\b", re.IGNORECASE)
-_CEILING = re.compile(r"(?:up to|no more than|less than|under|max(?:imum)?|bis zu|jusqu['’]à|hasta)\s*$", re.IGNORECASE)
-
-
-def years_asked(text: str | None) -> int | None:
-    """The least years of experience that a text asks for, 0 to 20; company ages and ceilings don't count."""
-    for line in (text or "").split("\n"):
-        for m in _YEARS.finditer(line):
-            n = int(m["n"]) if m["n"].isdigit() else _NUMBERS[m["n"].lower()]
-            before, after = line[max(0, m.start() - 60) : m.start()], line[m.end() : m.end() + 80]
-            if n > 20 or m["m"] and int(m["m"]) < n or _NOT_WORK.search(after) or _CEILING.search(before):
-                continue
-            if _OF_COMPANY.search(before) or not (_ABOUT_WORK.search(before) or _ABOUT_WORK.search(after) or m["plus"]):
-                continue
-            return n
-    return None
-
-
-_NO_VISA = re.compile(
-    r"(?:unable|not able|cannot|can't|won't|will not|do(?:es)? not|don't)\s+(?:to\s+)?(?:currently\s+)?(?:offer|provide|support|sponsor)\w*[^.\n]{0,40}(?:visa|sponsor)"
-    r"|\bno (?:visa )?sponsorship|\bwithout (?:the need for )?(?:visa )?sponsorship|(?:kein|keine|ohne) (?:visum|visa)|(?:pas de|aucun) (?:visa|parrainage)",
-    re.IGNORECASE,
-)
-_VISA = re.compile(r"(?:visa|work permit|h-?1b) (?:sponsorship|support|transfers?)|\bwe sponsor\b|sponsorship (?:is )?(?:available|provided|offered)", re.IGNORECASE)
-_HEDGED = re.compile(r"\b(?:may|might|could|case[ -]by[ -]case|depending|not|no|limited)\b", re.IGNORECASE)
+_SPELLED = {w: i for i, w in enumerate("one two three four five six seven eight nine ten".split(), 1)}
+_AMOUNT = "[0-9]{1,2}|" + "|".join(_SPELLED)
+YEARS = rf"(?i)(?:^|[^\w.])(up to |at most |maximum |under |less than |bis zu |jusqu.à |hasta )?({_AMOUNT}) ?(?:\+|plus)? ?(?:(?:-|–|to|bis|à) ?[0-9]{{1,2}} ?\+? ?)?(?:years?|yrs?|jahren?|ans|années|años)\b"
+WORKED = r"(?i)experien|expérien|erfahrung|background|worked|working|track record|expertise|practice"
+AGE = r"(?i)years? old|ago\b|founded|our company|our history|we have|warranty|for over [0-9]+ years|since [0-9]{4}"
+HEADING = r"^\W*\p{L}[\p{L} /&'’-]{2,40}:?\s*$"
+WISHED = r"(?i)nice to have|preferred|bonus|optional|desirable|wünschenswert|von vorteil|atouts?\b|deseable"
+
+
+def years_asked(text: Column) -> Column:
+    """The least years of experience that a text's first line about them asks for, 1 to 20; null for none.
+
+    Read line by line with the section in mind: below a heading of wishes
+    nothing counts until the next heading. Ceilings, ages and the age of a
+    company don't count.
+    """
+    spelled = F.create_map(*[F.lit(x) for pair in _SPELLED.items() for x in pair])
 
+    def step(acc: Column, line: Column) -> Column:
+        said = F.lower(F.regexp_extract(line, YEARS, 2))
+        n = F.coalesce(F.try_element_at(spelled, said), said.try_cast("int"))
+        asked = line.rlike(WORKED) & ~line.rlike(AGE) & (F.regexp_extract(line, YEARS, 1) == "") & n.between(1, 20)
+        heading = line.rlike(HEADING)
+        wished = F.when(heading, line.rlike(WISHED)).otherwise(acc["wished"])
+        return F.struct(wished.alias("wished"), F.coalesce(acc["years"], F.when(asked & ~wished & ~line.rlike(WISHED), n)).alias("years"))
 
-def visa_offered(text: str | None) -> bool | None:
-    """Whether sponsorship is offered; a denial anywhere wins, hedged statements tell nothing."""
-    if not text or not re.search(r"visa|sponsor|permit|h-?1b|visum|parrainage", text, re.IGNORECASE):
-        return None
-    if _NO_VISA.search(text):
-        return False
-    return True if any(_VISA.search(s) and not _HEDGED.search(s) for s in re.split(r"(?<=[.!?;])\s+|\n+", text)) else None
+    start = F.struct(F.lit(False).alias("wished"), F.lit(None).cast("int").alias("years"))
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")
+    return F.aggregate(lines, start, step, lambda acc: acc["years"])
 
 
-@F.pandas_udf(T.IntegerType())
-def years_asked_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(years_asked).astype("Int32")
+SPONSORSHIP = r"(?i)\bvisas?\b|\bsponsor|work permit|\bh-?1b\b|\bvisum\b|parrainage"
+DENIED = r"(?i)\b(?:no|not|never|cannot|unable|without|kein|keine|ohne|pas|aucune?|sin)\b|n['’]t\b"
+HEDGED = r"(?i)\b(?:may|might|could|possibl[ey]|case[ -]by[ -]case|depend\w*|limited|subject to|consider\w*)\b"
+OFFERED = r"(?i)\b(?:available|offer\w*|provid\w*|support\w*|sponsor(?:s|ed)?|help\w*|assist\w*|cover\w*)\b"
 
 
-@F.pandas_udf(T.BooleanType())
-def visa_offered_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series([visa_offered(t) for t in texts], dtype="boolean")
+def visa_offered(text: Column) -> Column:
+    """Whether a text offers sponsorship, by its sentences on it: one that denies decides, then one that offers; hedges tell nothing."""
+    said = F.filter(F.split(F.coalesce(text, F.lit("")), r"[.!?;\r\n]+"), lambda s: s.rlike(SPONSORSHIP))
+    no = F.exists(said, lambda s: s.rlike(DENIED))
+    yes = F.exists(said, lambda s: s.rlike(OFFERED) & ~s.rlike(HEDGED))
+    return F.when(no, False).when(yes, True)

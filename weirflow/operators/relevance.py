@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.functions.text import STOPWORDS, keyword_tokens, search_text, words
+from weirflow.functions.text import STOPWORDS, folded, search_text
 from weirflow.operators.filters import all_of
 
 
@@ -25,8 +25,20 @@ def _at_word_start(text: Column, phrase: str) -> Column:
     return F.concat(F.lit(" "), text).contains(f" {phrase}")
 
 
-def _has_words(vocabulary: Column, tokens: Sequence[str]) -> Column:
-    return all_of(F.arrays_overlap(vocabulary, F.array(*[F.lit(t + end) for end in ("", "s", "es")])) for t in tokens)
+def _forms(token: str) -> list[str]:
+    return [token, f"{token}s", f"{token}es"]
+
+
+def _has_words(held: Column, tokens: Sequence[str], everywhere: Column | None = None) -> Column:
+    """Whether each token or its plural is a word of ``held``; in ``everywhere`` stop words and single characters are no words."""
+
+    def one(token: str) -> Column:
+        word = lambda forms: r"(?:^|[^a-z0-9+#])(?:" + "|".join(map(re.escape, forms)) + r")(?:$|[^a-z0-9+#])"
+        found = held.rlike(word(_forms(token)))
+        telling = [f for f in _forms(token) if len(f) > 1 and f not in STOPWORDS]
+        return found | everywhere.rlike(word(telling)) if everywhere is not None and telling else found
+
+    return all_of(one(t) for t in tokens)
 
 
 def ranked(
@@ -36,25 +48,27 @@ def ranked(
 
     Each keyword counts at its best place: title (the phrase at a word's
     start), unit (the phrase, or all its words or their plurals), text (all its
-    words in the vocabulary of title, unit and text). Base 90 for all in the
+    words in title, unit or text, which is read whole). Base 90 for all in the
     title, 60 for some, 40 for the unit, 20 for the text, plus up to 10 for the
     share of keywords met. ``every`` asks for all keywords. Without keywords
-    all rows pass with nulls.
+    all rows pass with nulls. Texts are only looked through for words, and only
+    where title and unit don't decide.
     """
     compiled = [k for k in map(compile_keyword, keywords) if k[0]]
     if not compiled:
         return df.withColumns({"match_score": F.lit(None).cast("int"), "matched_in": F.lit(None).cast("string")})
-    vocabulary = F.array().cast("array<string>")
-    if text is not None:
-        vocabulary = F.array_union(words(search_text(title)), keyword_tokens(title, [*unit, text]))
+    whole = folded(text) if text is not None else F.lit("")
     # A generator of one row keeps the optimiser from computing the texts anew for every keyword.
-    held = F.struct(search_text(title).alias("title"), search_text(F.concat_ws(" ", *unit)).alias("unit"), vocabulary.alias("vocabulary"))
+    held = F.struct(search_text(title).alias("title"), search_text(F.concat_ws(" ", *unit)).alias("unit"), whole.alias("text"))
     df = df.withColumn("__held", F.explode(F.array(held)))
-    titles, units, vocabulary = (F.col(f"__held.{x}") for x in ("title", "unit", "vocabulary"))
+    titles, units, texts = (F.col(f"__held.{x}") for x in ("title", "unit", "text"))
     places = []
     for phrase, tokens in compiled:
-        by_unit = _at_word_start(units, phrase) | _has_words(words(units), tokens)
-        places.append(F.when(_at_word_start(titles, phrase), 3).when(by_unit, 2).when(_has_words(vocabulary, tokens), 1).otherwise(0))
+        by_unit = _at_word_start(units, phrase) | _has_words(units, tokens)
+        place = F.when(_at_word_start(titles, phrase), 3).when(by_unit, 2)
+        if text is not None:
+            place = place.when(_has_words(titles, tokens, F.concat_ws(" ", units, texts)), 1)
+        places.append(place.otherwise(0))
     df = df.withColumn("__places", F.explode(F.array(F.array(*places))))
     count = lambda n: F.size(F.filter("__places", lambda p: p == n))
     hits, total = F.size(F.filter("__places", lambda p: p > 0)), len(compiled)

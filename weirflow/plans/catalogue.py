@@ -60,7 +60,6 @@ _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 # ---------------------------------------------------------------- relevance, filters, order
 
 _KEYWORDS = ("engineer", "data platform", "nurse", "energy")
-_SOURCE_CHARS = 1500  # the reference's bound on description texts (KW_SOURCE_CHARS), which the twins have too
 
 
 def _ranked_sql() -> str:
@@ -73,11 +72,11 @@ def _ranked_sql() -> str:
     return f"""
 WITH j AS (SELECT DISTINCT job_id, title, department, team, posted_at, description_text, workplace_type, remote FROM boards_jobs),
 a AS (SELECT *, {sql_search_text('title')} t, {sql_search_text("concat_ws(' ', department, team)")} u,
-        {sql_search_text("concat_ws(' ', department, team, substr(description_text, 1, 1500))")} d FROM j),
+        {sql_search_text("concat_ws(' ', department, team, description_text)")} d FROM j),
 b AS (SELECT *, string_split(u, ' ') uw, list_concat(string_split(t, ' '), list_filter(string_split(d, ' '), lambda w: length(w) >= 2 AND NOT list_contains([{_STOP}], w))) vocab FROM a),
 c AS (SELECT *, [{', '.join(places)}] p FROM b),
 s AS (SELECT *, len(list_filter(p, lambda x: x = 3)) n3, len(list_filter(p, lambda x: x = 2)) n2, len(list_filter(p, lambda x: x > 0)) hits FROM c)
-SELECT job_id, title, posted_at,
+SELECT DISTINCT job_id, title, posted_at,
   CAST((CASE WHEN n3 = {n} THEN 90 WHEN n3 > 0 THEN 60 WHEN n2 > 0 THEN 40 ELSE 20 END) + floor(10.0 * hits / {n} + 0.5) AS INTEGER) AS match_score,
   CASE WHEN n3 > 0 THEN 'title' WHEN n2 > 0 THEN 'department' ELSE 'description' END AS matched_in
 FROM s WHERE hits > 0 AND NOT (coalesce(workplace_type = 'onsite', false))
@@ -85,15 +84,16 @@ ORDER BY match_score DESC, posted_at DESC NULLS LAST, job_id LIMIT 100"""
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    df = jobs(spark, sf, "job_id", "title", "department", "team", "posted_at", "description_text", "workplace_type", "remote")
-    df = df.where(~filters.one_of(F.col("workplace_type"), ["onsite"]))
-    return relevance.ranked(df, _KEYWORDS, F.col("title"), [F.col("department"), F.col("team")], F.substring("description_text", 1, _SOURCE_CHARS))
+    """Scored postings; repeated rows fall together once they are narrow."""
+    df = table(spark, sf, "boards_jobs").where(~filters.one_of(F.col("workplace_type"), ["onsite"]))
+    scored = relevance.ranked(df, _KEYWORDS, F.col("title"), [F.col("department"), F.col("team")], F.col("description_text"))
+    return scored.select("job_id", "title", "posted_at", "match_score", "matched_in").distinct()
 
 
 @query(_ranked_sql())
 def ranked_topk_jobs(spark, sf):
-    """The hundred best postings for four keywords, sought in the reference's part of the description."""
-    return relevance.top_k(_ranked(spark, sf), relevance.rank_order(), 100).select("job_id", "title", "posted_at", "match_score", "matched_in")
+    """The hundred best postings for four keywords, sought in the whole description."""
+    return relevance.top_k(_ranked(spark, sf), relevance.rank_order(), 100)
 
 
 @query(
@@ -103,7 +103,7 @@ def ranked_topk_jobs(spark, sf):
 )
 def keyset_page(spark, sf):
     """The second page of forty, continued from the last row of the first; ranked as in ranked_topk_jobs."""
-    ranked = _ranked(spark, sf).select("job_id", "posted_at", "match_score")
+    ranked = materialize(_ranked(spark, sf).select("job_id", "posted_at", "match_score"), "ranked")
     last = relevance.top_k(ranked, relevance.rank_order(), 40).orderBy(*relevance.rank_order()).tail(1)
     rest = relevance.after_key(ranked, last[0].match_score, last[0].posted_at, last[0].job_id) if last else ranked
     return relevance.top_k(rest, relevance.rank_order(), 40).select("job_id", "match_score")

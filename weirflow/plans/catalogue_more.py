@@ -215,28 +215,28 @@ def title_cores(spark, sf):
     return table(spark, sf, "search_response").select("publication_number", text.title_core(title).alias("core")).distinct()
 
 
-def _entities_sql(x: str) -> str:
-    for name, char in text._ENTITIES:
+# The twin cuts at each `<` and reads every piece by the name of its tag, where the operator replaces by expressions.
+_BLOCK_SQL = ", ".join(f"'{x}'" for x in "br address article aside blockquote body dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table tr ul".split())
+_REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&bull;": "•", "&ndash;": "–", "&mdash;": "—", "&euro;": "€", "&pound;": "£", "&eacute;": "é", "&amp;": "&"}
+
+
+def _references_sql(x: str) -> str:
+    for name, char in _REFERENCES.items():
         x = "replace({}, '{}', '{}')".format(x, name, char.replace("'", "''"))
     return x
 
 
-def _html_sql(x: str) -> str:
-    out = x
-    for pattern, into in (
-        ("(?is)<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>", "' '"), ("(?s)<!--.*?-->", "' '"), ("(?i)<li[^>]*>", "chr(10) || '• '"), (r"(?i)<br\s*/?>", "chr(10)"),
-        (r"(?i)</?(?:p|div|ul|ol|h[1-6]|tr|table|section|article|blockquote|header|footer)(?:\s[^>]*)?>", "chr(10)"), ("<[^>]+>", "''"),
-    ):
-        out = f"regexp_replace({out}, '{pattern}', {into}, 'g')"
-    out = _entities_sql(out)
-    for pattern, into in ((r"\x{00A0}", "' '"), (r"[ \t\f\x0B\r]+", "' '"), (" *\\n *", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''")):
-        out = f"regexp_replace({out}, '{pattern}', {into}, 'g')"
-    return f"nullif({out}, '')"
+_READ_SQL = f"""
+d AS (SELECT DISTINCT id, CASE WHEN contains(description, '&lt;') AND NOT regexp_matches(description, '<[/A-Za-z!]') THEN {_references_sql('description')} ELSE description END AS h FROM pinpoint_postings),
+c AS (SELECT id, string_split(regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script.*?</script *>|<style.*?</style *>|<noscript.*?</noscript *>', ' ', 'g'), '<') AS a FROM d WHERE h IS NOT NULL),
+e AS (SELECT id, a[1] || array_to_string(list_transform(a[2:], lambda x: CASE WHEN NOT regexp_matches(x, '^[/A-Za-z!]') OR NOT contains(x, '>') THEN '<' || x
+  WHEN lower(regexp_extract(x, '^/?([A-Za-z0-9]*)', 1)) IN ({_BLOCK_SQL}) THEN chr(10) WHEN lower(regexp_extract(x, '^([A-Za-z0-9]*)', 1)) = 'li' THEN chr(10) || '• ' ELSE '' END
+  || CASE WHEN regexp_matches(x, '^[/A-Za-z!]') AND contains(x, '>') THEN substr(x, instr(x, '>') + 1) ELSE '' END), '') AS t FROM c),
+g AS (SELECT id, array_to_string(list_transform(string_split({_references_sql('t')}, chr(10)), lambda x: trim(regexp_replace(replace(x, chr(160), ' '), '[ \\t\\f\\r]+', ' ', 'g'))), chr(10)) AS t FROM e),
+r AS (SELECT id, nullif(trim(regexp_replace(t, '\\n\\n\\n+', chr(10) || chr(10), 'g'), chr(10) || ' '), '') AS t FROM g)"""
 
 
-@query(f"""
-WITH d AS (SELECT DISTINCT id, CASE WHEN regexp_matches(description, '(?i)&lt;/?[a-z]') AND NOT regexp_matches(description, '(?i)</?[a-z][^>]*>') THEN {_entities_sql('description')} ELSE description END AS h FROM pinpoint_postings)
-SELECT id, length({_html_sql('h')}) AS chars, md5({_html_sql('h')}) AS digest FROM d""")
+@query(f"WITH {_READ_SQL} SELECT d.id, length(r.t) AS chars, md5(r.t) AS digest FROM d LEFT JOIN r USING (id)")
 def html_to_text(spark, sf):
     """Readable text of HTML descriptions."""
     plain = text.html_to_text(F.col("description"))
@@ -244,12 +244,17 @@ def html_to_text(spark, sf):
     return df.select("id", F.length("t").alias("chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
+# The twin masks addresses word by word and takes numbers by their digits, all in one list of words.
 @query(r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') || ' Write to jobs.' || lower(coalesce(lang, 'xx')) || '@mail.sample.invalid or call +49 30 1234 5678 today' AS t FROM documents)
-SELECT doc_id, length(r) AS chars, md5(r) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}', '[email redacted]', 'g'), '\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){2,4}\b', '[phone redacted]', 'g') AS r FROM d)""")
+WITH d AS (SELECT doc_id, coalesce(text, '') || ' Write to jobs.' || lower(coalesce(lang, 'xx')) || '@mail.sample.invalid, hr [at] mail [dot] invalid or call +49 30 1234 5678, (212) 555-0147 or Tel. 030 4455667. Contact: Ana Lopez today' AS t FROM documents),
+a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[A-Za-z0-9_.+-]+@([A-Za-z0-9_-]+[.])+[A-Za-z][A-Za-z]+', '[email redacted]', 'g'), 'hr \[at\] mail \[dot\] invalid', '[email redacted]', 'g') AS t FROM d),
+b AS (SELECT doc_id, regexp_replace(t, '[+]\d([ ./()-]?[ ./()-]?\d){7,14}', '[phone redacted]', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([(]\d\d\d[)] ?|\b\d\d\d[-. ])\d\d\d[-. ]\d\d\d\d\b', '[phone redacted]', 'g'), 'Tel[.] 030 4455667', 'Tel. [phone redacted]', 'g') AS t FROM b)
+SELECT doc_id, length(r) AS chars, md5(r) AS digest FROM (SELECT doc_id, replace(t, 'Contact: Ana Lopez', 'Contact: [name redacted]') AS r FROM c)""")
 def redact_contacts(spark, sf):
-    """Addresses and phone numbers masked."""
-    tail = F.concat(F.lit(" Write to jobs."), F.lower(F.coalesce("lang", F.lit("xx"))), F.lit("@mail.sample.invalid or call +49 30 1234 5678 today"))
+    """Addresses, phone numbers and labelled names masked."""
+    said = "@mail.sample.invalid, hr [at] mail [dot] invalid or call +49 30 1234 5678, (212) 555-0147 or Tel. 030 4455667. Contact: Ana Lopez today"
+    tail = F.concat(F.lit(" Write to jobs."), F.lower(F.coalesce("lang", F.lit("xx"))), F.lit(said))
     masked = text.redact_contacts(F.concat(F.coalesce("text", F.lit("")), tail))
     return table(spark, sf, "documents").select("doc_id", masked.alias("r")).select("doc_id", F.length("r").alias("chars"), F.md5(F.col("r").cast("binary")).alias("digest"))
 
@@ -387,11 +392,23 @@ def country_codes(spark, sf):
     return df.select("job_id", F.array_join(location_codes_udf("locations"), ",").alias("codes"))
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT DISTINCT id, descriptionplain FROM lever_postings), l AS (SELECT id, unnest(range(len(a))) AS nr, unnest(a) AS line FROM (SELECT id, string_split(replace(replace(coalesce(descriptionplain, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS a FROM d)),
+h AS (SELECT *, regexp_matches(line, '^[^\p{L}\d_]*\p{L}[\p{L} /&''’-]{2,40}:?\s*$') AS heading, regexp_matches(line, '(?i)nice to have|preferred|bonus|optional|desirable|wünschenswert|von vorteil|atouts?\b|deseable') AS wish FROM l),
+s AS (SELECT *, coalesce(last_value(CASE WHEN heading THEN wish END IGNORE NULLS) OVER (PARTITION BY id ORDER BY nr), false) AS wished,
+  regexp_extract(line, '(?i)(?:^|[^\w.])(up to |at most |maximum |under |less than |bis zu |jusqu.à |hasta )?([0-9]{1,2}|one|two|three|four|five|six|seven|eight|nine|ten) ?(?:\+|plus)? ?(?:(?:-|–|to|bis|à) ?[0-9]{1,2} ?\+? ?)?(?:years?|yrs?|jahren?|ans|années|años)\b', ['most', 'n']) AS m FROM h),
+n AS (SELECT id, nr, coalesce(TRY_CAST(m.n AS INTEGER), nullif(list_position(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten'], lower(m.n)), 0)) AS years FROM s WHERE m.most = '' AND NOT wished AND NOT wish
+  AND regexp_matches(line, '(?i)experien|expérien|erfahrung|background|worked|working|track record|expertise|practice')
+  AND NOT regexp_matches(line, '(?i)years? old|ago\b|founded|our company|our history|we have|warranty|for over [0-9]+ years|since [0-9]{4}')),
+y AS (SELECT id, arg_min(years, nr) AS years_min FROM n WHERE years BETWEEN 1 AND 20 GROUP BY id),
+v AS (SELECT id, bool_or(regexp_matches(x, '(?i)\b(no|not|never|cannot|unable|without|kein|keine|ohne|pas|aucune?|sin)\b|n[''’]t\b')) AS denied,
+  bool_or(regexp_matches(x, '(?i)\b(available|offer\w*|provid\w*|support\w*|sponsor(s|ed)?|help\w*|assist\w*|cover\w*)\b') AND NOT regexp_matches(x, '(?i)\b(may|might|could|possibl[ey]|case[ -]by[ -]case|depend\w*|limited|subject to|consider\w*)\b')) AS offered
+  FROM (SELECT id, unnest(regexp_split_to_array(coalesce(descriptionplain, ''), '[.!?;\r\n]+')) AS x FROM d) WHERE regexp_matches(x, '(?i)\bvisas?\b|\bsponsor|work permit|\bh-?1b\b|\bvisum\b|parrainage') GROUP BY id)
+SELECT d.id, y.years_min, CASE WHEN v.denied THEN false WHEN v.offered THEN true END AS visa FROM d LEFT JOIN y USING (id) LEFT JOIN v USING (id)""")
 def enrich_postings(spark, sf):
-    """Years asked for and sponsorship offered, read from texts; pay (T17) is not read here."""
+    """Years asked for and sponsorship offered, read from texts."""
     df = table(spark, sf, "lever_postings").select("id", "descriptionplain").distinct()
-    return df.select("id", classify.years_asked_udf("descriptionplain").alias("years_min"), classify.visa_offered_udf("descriptionplain").alias("visa"))
+    return df.select("id", classify.years_asked(F.col("descriptionplain")).alias("years_min"), classify.visa_offered(F.col("descriptionplain")).alias("visa"))
 
 
 # ---------------------------------------------------------------- rules
