@@ -1,3 +1,4 @@
+import time
 from datetime import date, datetime
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import classify, dates, text, web
 from weirflow.functions.geo import location_codes
-from weirflow.operators import aggregates, dedupe, filters, joins, relevance, resolve, rules, state
+from weirflow.operators import aggregates, dedupe, filters, joins, relevance, resolve, rules, state, terms
 from weirflow.plans.options import SearchOptions, search
 
 
@@ -175,3 +176,24 @@ def test_aggregates(spark):
     assert sorted(map(tuple, aggregates.streaks(runs, "g", [F.col("t").desc()], F.col("f")).collect())) == [("a", 4, 3, 2), ("b", 1, 0, 0)]
     items = F.array(*[F.struct(F.lit(float(a)).alias("amount"), F.lit(c).alias("currency")) for a, c in ((0, "USD"), (5, "EUR"), (7, "EUR"))])
     assert spark.range(1).select(aggregates.one_currency_total(items).alias("x")).first().x == 12.0
+
+
+def test_terms(spark):
+    found = [terms.Term("go", ("Go", "Golang"), exact=True, weak=True), terms.Term("c++", ("c++",)), terms.Term("c", ("C",), exact=True, weak=True), terms.Term("react", ("react",), implies=("js",)), terms.Term("js", ("javascript",), implies=("web",)), terms.Term("excel", ("Excel",), exact=True, excludes=("go",))]
+    rows = [(1, "We go far in Go."), (2, "Go and C++ 20; excel at it"), (3, "REACT, react.native"), (4, "Excel, Go"), (5, None), (6, ""), (7, "İstanbul C++"), (2, "Go and C++ 20; excel at it")]
+    df = spark.createDataFrame(rows, "key int, name string").withColumn("text", F.lit("c++"))
+    got = {(r.key, r.name, r.worded, r.implied) for r in terms.detect_terms(df, F.col("key"), F.col("name"), found).collect()}
+    assert got == {(2, "go", "Go", False), (2, "c++", "C++", False), (3, "react", "REACT", False), (3, "js", None, True), (3, "web", None, True), (4, "excel", "Excel", False), (7, "c++", "C++", False)}
+    assert terms.detect_terms(df, F.col("key"), F.col("name"), []).count() == 0 == terms.detect_terms(df.limit(0), F.col("key"), F.col("name"), found).count()
+    assert terms.suggest_terms("go", found) == ["go"] and terms.suggest_terms("c", found) == ["c", "c++", "excel", "js", "react"][:5] and terms.suggest_terms(" ", found) == []
+
+
+def test_many_terms_cost_no_more_a_text():
+    """Six hundred names: a text is read once by one automaton."""
+    many = [terms.Term(f"name{i}", (f"Name{i}", f"tool-{i}x")) for i in range(600)]
+    built = terms.automaton_of(many)
+    text_ = "plain words of the daily work, Name17 and tool-598x; name5990 " * 80
+    began = time.perf_counter()
+    for _ in range(50):
+        assert set(terms.find_terms(text_, built, many)) == {17, 598}
+    assert (time.perf_counter() - began) / 50 < 0.05

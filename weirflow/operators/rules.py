@@ -54,10 +54,10 @@ def implications(rules: Sequence[Rule]) -> dict[str, set[str]]:
     direct: dict[str, set[str]] = {}
     for rule in rules:
         direct.setdefault(rule.name, set()).update(rule.implies)
-    return _closure(direct)
+    return closure(direct)
 
 
-def _closure(implies: dict[str, set[str]]) -> dict[str, set[str]]:
+def closure(implies: dict[str, set[str]]) -> dict[str, set[str]]:
     closed = {k: set(v) for k, v in implies.items()}
     changed = True
     while changed:

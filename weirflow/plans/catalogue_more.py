@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import classify, dates, text, web
 from weirflow.functions.geo import location_codes_udf
-from weirflow.operators import aggregates, dedupe, joins, relevance, resolve, rules, state
-from weirflow.plans.catalogue import NOW, jobs, now, query, sql_company_key, sql_match_key, sql_search_text
+from weirflow.operators import aggregates, joins, relevance, resolve, rules, state, terms
+from weirflow.plans.catalogue import _STOP, NOW, jobs, now, query, sql_company_key, sql_match_key, sql_search_text
 from weirflow.session import materialize, shared_dir, table
 from weirflow.sources import documents as doc_sources
 from weirflow.sources import index as index_sources
@@ -19,14 +19,14 @@ from weirflow.sources import index as index_sources
 @query("""
 WITH RECURSIVE m AS (SELECT DISTINCT s_nationkey AS block, l_suppkey AS node, l_partkey AS item FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 z AS (SELECT block, node, count(*) AS n FROM m GROUP BY ALL),
-e AS (SELECT x.node AS a, y.node AS b FROM m x JOIN m y ON x.block = y.block AND x.item = y.item AND x.node < y.node JOIN z p ON p.node = x.node JOIN z q ON q.node = y.node GROUP BY x.node, y.node, p.n, q.n HAVING count(*) >= least(p.n, q.n) * 0.28),
+e AS (SELECT x.node AS a, y.node AS b FROM m x JOIN m y ON x.block = y.block AND x.item = y.item AND x.node < y.node JOIN z p ON p.node = x.node JOIN z q ON q.node = y.node GROUP BY x.node, y.node, p.n, q.n HAVING count(*) >= 40 OR count(*) >= least(p.n, q.n) * 0.30),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
 SELECT node, min(root) AS component FROM r GROUP BY node""")
 def cluster_boards(spark, sf):
-    """J10 and the share rule of A3: suppliers of one nation joined by the share of parts they have in common, as components."""
+    """Suppliers of one nation joined by the number or the share of parts they have in common, as components."""
     supplier = table(spark, sf, "supplier")
     members = table(spark, sf, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "l_suppkey", "l_partkey")
-    edges = resolve.overlap_edges(members, "s_nationkey", "l_suppkey", "l_partkey", 10**9, 0.28)
+    edges = resolve.overlap_edges(members, "s_nationkey", "l_suppkey", "l_partkey", 40, 0.30)
     return resolve.connected_components(supplier.select("s_suppkey"), edges)
 
 
@@ -267,7 +267,12 @@ def snippets(spark, sf):
     return jobs(spark, sf, "job_id", "description_text").select("job_id", text.snippet(F.col("description_text")).alias("snippet"))
 
 
-@query()
+@query(f"""
+WITH j AS (SELECT DISTINCT job_id, title, department, team, description_text FROM boards_jobs), d AS (SELECT row_number() OVER () AS r, job_id, string_split({sql_search_text('title')}, ' ') AS t, string_split({sql_search_text("concat_ws(' ', department, team, description_text)")}, ' ') AS a FROM j),
+w AS (SELECT r, word, min(nr) AS nr FROM (SELECT r, unnest(a) AS word, unnest(range(len(a))) AS nr, t FROM d) WHERE length(word) > 1 AND NOT list_contains(t, word) AND word NOT IN ({_STOP}) GROUP BY ALL),
+c AS (SELECT r, word, nr, sum(length(word) + 1) OVER (PARTITION BY r ORDER BY nr) - 1 AS used FROM w),
+k AS (SELECT r, count(*) AS words, coalesce(string_agg(word, ' ' ORDER BY nr) FILTER (used <= 500), '') AS kw FROM c GROUP BY r)
+SELECT d.job_id, CAST(coalesce(k.words, 0) AS INTEGER) AS words, coalesce(k.kw, '') AS kw FROM d LEFT JOIN k USING (r)""")
 def keyword_fields(spark, sf):
     """Words of a posting beyond its title within a budget of characters; those its board shares (A9) stay in."""
     tokens = text.keyword_tokens(F.col("title"), [F.col("department"), F.col("team"), F.col("description_text")])
@@ -413,34 +418,57 @@ def enrich_postings(spark, sf):
 
 # ---------------------------------------------------------------- rules
 
-TECH_RULES = (
-    rules.Rule("python", r"\bPython\b", "python"), rules.Rule("spark", r"\bSpark\b", "spark", implies=("jvm",)), rules.Rule("kafka", r"\bKafka\b", "kafka", implies=("jvm",)),
-    rules.Rule("scala", r"\bScala\b", "scala", implies=("jvm",)), rules.Rule("java", r"\bJava\b", "java", implies=("jvm",)), rules.Rule("typescript", r"\bTypeScript\b", "typescript", implies=("javascript",)),
-    rules.Rule("javascript", r"\bJavaScript\b", "javascript"), rules.Rule("react", r"\bReact\b", "react", implies=("javascript",)), rules.Rule("postgresql", r"\bPostgreSQL\b", "postgresql", implies=("sql",)),
-    rules.Rule("sql", r"\bSQL\b", "sql"), rules.Rule("docker", r"\bDocker\b", "docker"), rules.Rule("terraform", r"\bTerraform\b", "terraform"), rules.Rule("rust", r"\bRust\b", "rust"),
-    rules.Rule("go", r"\bGo\b", "go", confidence=50), rules.Rule("excel", r"\bExcel\b", "excel", excludes=("go",)),
-)
+# A dictionary of the tests' own: languages, stores, tools and standards; a line is name, aliases and marks (= exact case, ~ weak), then what it implies after >.
+_DICTIONARY = """
+python; scala > jvm; java > jvm; kotlin > jvm; groovy > jvm; clojure > jvm; rust = ; go, golang = ~ ; c++; c#, csharp > dotnet; f# > dotnet; dotnet, .net; php; ruby; perl = ; swift = ; matlab; julia = ~ ; haskell; erlang; elixir = ~ ; typescript > javascript
+javascript; node.js, nodejs > javascript; react, react.js > javascript; angular > javascript; vue.js, vue > javascript; svelte > javascript; next.js > react; jquery > javascript; html, html5; css, css3; sass = ; webpack; vite = ~
+django > python; flask = > python; fastapi > python; pandas > python; numpy > python; pytorch > python; tensorflow; scikit-learn, sklearn > python; airflow > python; dbt; jupyter; spark, apache spark = > jvm; kafka, apache kafka = > jvm; flink = > jvm; hadoop > jvm; hive = ~ > sql; trino > sql
+spring boot > spring; spring = ~ > java; hibernate > java; quarkus > java; rails, ruby on rails > ruby; laravel > php; symfony > php; sql; postgresql, postgres > sql; mysql > sql; mariadb > sql; oracle database > sql; sql server, mssql > sql; sqlite > sql; snowflake = ~ > sql; bigquery > sql
+redshift > sql; clickhouse > sql; duckdb > sql; mongodb; cassandra; redis; elasticsearch; opensearch; neo4j; dynamodb > aws; aws, amazon web services; azure; gcp, google cloud; docker; kubernetes, k8s > docker; helm = ~ ; terraform; ansible; puppet = ~ ; jenkins; gitlab > git; github > git; git = ; grafana
+prometheus; datadog; splunk; linux; bash; powershell; graphql; grpc; rabbitmq; nginx; tableau; power bi; looker; excel, microsoft excel = ; sap = ; salesforce; jira; confluence; figma = ; photoshop; autocad; cad software, cad; solidworks; selenium; cypress = ~ ; playwright; unity = ~ ; opencv
+"""
+_SPELLED = {"python": "Python", "rust": "Rust", "go": "Go", "golang": "Golang", "perl": "Perl", "swift": "Swift", "julia": "Julia", "elixir": "Elixir", "sass": "Sass", "vite": "Vite", "flask": "Flask", "spark": "Spark", "apache spark": "Apache Spark", "kafka": "Kafka", "apache kafka": "Apache Kafka", "flink": "Flink", "hive": "Hive", "spring": "Spring", "snowflake": "Snowflake", "helm": "Helm", "puppet": "Puppet", "git": "Git", "excel": "Excel", "microsoft excel": "Microsoft Excel", "sap": "SAP", "figma": "Figma", "cypress": "Cypress", "unity": "Unity"}
+
+
+def _dictionary() -> list[terms.Term]:
+    found = []
+    for entry in _DICTIONARY.replace("\n", ";").split(";"):
+        names, _, implied = entry.partition(">")
+        exact, weak = "=" in names, "~" in names
+        aliases = [x.strip() for x in names.replace("=", "").replace("~", "").split(",") if x.strip()]
+        if aliases:
+            spelled = tuple(_SPELLED.get(x, x) if exact else x for x in aliases)
+            excludes = ("go",) if aliases[0] == "excel" else ()
+            found.append(terms.Term(aliases[0], spelled, exact, weak, tuple(x.strip() for x in implied.split(",") if x.strip()), excludes))
+    return found
+
+
+TERMS = _dictionary()
 
 
 def _tech_sql() -> str:
-    hits = " UNION ALL ".join(
-        "SELECT job_id, '{}' AS name, {} AS confidence FROM j WHERE regexp_matches(description_text, '{}')".format(r.name, r.confidence, r.pattern) for r in TECH_RULES
+    quoted = lambda x: "".join(f"[{c}]" if c in ".+#" else c for c in x)
+    rows = ", ".join(
+        "('{}', '(^|[^\\p{{L}}\\p{{N}}_#+.@]){}({})($|[^\\p{{L}}\\p{{N}}_#+.]|[.]($|[^\\p{{L}}\\p{{N}}]))', {})".format(t.name, "" if t.exact else "(?i)", "|".join(map(quoted, t.aliases)), str(t.weak).lower()) for t in TERMS
     )
-    implied = ", ".join(f"('{a}', '{b}')" for a, bs in sorted(rules.implications(TECH_RULES).items()) for b in sorted(bs))
+    implied = ", ".join(f"('{a}', '{b}')" for a, bs in sorted(rules.closure({t.name: set(t.implies) for t in TERMS}).items()) for b in sorted(bs))
     return f"""
-j AS (SELECT DISTINCT job_id, description_text FROM boards_jobs), d AS (SELECT job_id, name, least(sum(confidence), 100) AS confidence FROM ({hits}) GROUP BY ALL),
-i AS (SELECT * FROM (VALUES {implied}) t(name, other)), a AS (SELECT job_id, name, max(confidence) AS confidence FROM (SELECT * FROM d UNION ALL SELECT job_id, other, confidence FROM d JOIN i USING (name)) GROUP BY ALL),
-x AS (SELECT job_id, 'go' AS name FROM d WHERE name = 'excel'), f AS (SELECT a.* FROM a ANTI JOIN x USING (job_id, name))"""
+j AS (SELECT DISTINCT job_id, description_text FROM boards_jobs), p AS (SELECT * FROM (VALUES {rows}) t(name, pattern, weak)),
+h AS (SELECT DISTINCT j.job_id, j.description_text, p.name, p.weak FROM j JOIN p ON regexp_matches(j.description_text, p.pattern)),
+d AS (SELECT DISTINCT job_id, name FROM h WHERE (job_id, description_text) IN (SELECT (job_id, description_text) FROM h WHERE NOT weak)),
+k AS (SELECT * FROM d WHERE NOT (name = 'go' AND job_id IN (SELECT job_id FROM d WHERE name = 'excel'))),
+i AS (SELECT * FROM (VALUES {implied}) t(name, other)), f AS (SELECT job_id, name, bool_and(implied) AS implied FROM (SELECT *, false AS implied FROM k UNION ALL SELECT job_id, other, true FROM k JOIN i USING (name)) GROUP BY ALL)"""
 
 
 def _tech(spark, sf):
-    return rules.detect(jobs(spark, sf, "job_id", "description_text"), "job_id", "description_text", TECH_RULES)
+    found = terms.detect_terms(table(spark, sf, "boards_jobs"), F.col("job_id"), F.col("description_text"), TERMS)
+    return found.withColumnRenamed("key", "job_id")
 
 
-@query(f"WITH {_tech_sql()} SELECT job_id, name, CAST(confidence AS INTEGER) AS confidence FROM f")
+@query(f"WITH {_tech_sql()} SELECT job_id, name, implied FROM f")
 def tech_mentions(spark, sf):
-    """Technologies named in postings, with what they imply and exclude."""
-    return _tech(spark, sf)
+    """Technologies named in postings, with what they imply and exclude."""
+    return _tech(spark, sf).select("job_id", "name", "implied")
 
 
 @query(f"""
@@ -449,7 +477,7 @@ c AS (SELECT company_board, name, count(DISTINCT job_id) AS jobs FROM f JOIN b U
 t AS (SELECT company_board, string_agg(name || ' (' || jobs || ')', '; ' ORDER BY rn) AS techs FROM (SELECT *, row_number() OVER (PARTITION BY company_board ORDER BY jobs DESC, name) AS rn FROM c) WHERE rn <= 5 GROUP BY ALL)
 SELECT company_board, open_jobs, techs FROM n JOIN m USING (company_board) JOIN t USING (company_board)""")
 def companies_by_technology(spark, sf):
-    """Boards whose postings name all wanted technologies, with their top five."""
+    """Boards whose postings name all wanted technologies, with their top five."""
     boards = jobs(spark, sf, "job_id", "company_board")
     named = materialize(_tech(spark, sf).select("job_id", "name").distinct().join(boards, "job_id"), "named")
     wanted = named.where(F.col("name").isin("spark", "kafka")).groupBy("company_board").agg(F.count_distinct("name").alias("n")).where("n = 2").select("company_board")
@@ -494,5 +522,3 @@ def top_customers(spark, sf):
     top = joined.withColumn("place", F.row_number().over(order)).where("place <= 3").withColumn("place", F.col("place").cast("long"))
     return top.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_custkey", "orders", "spent", "place")
 
-
-__all__ = ["TECH_RULES", "dedupe"]
