@@ -22,21 +22,23 @@ def filled_fields(names: Sequence[str], schema) -> Column:
 def survivors(df: DataFrame, key: Sequence[Column], order: Sequence[Column], id_: str, out: str = "duplicate_sources") -> DataFrame:
     """The best row of each key with the sorted ids of the others.
 
-    The winner and the ids come from one aggregation, so a key that many rows
-    share is combined before the shuffle. ``order`` holds values to be greatest
-    first; ties fall to the smallest id. Rows with equal ids are one.
+    Repeated rows of an id are one, combined before the shuffle. The winner is
+    an aggregate, which is combined too, so a key that many rows share costs
+    one row a task; the list of the other ids is as long as the key has ids,
+    as the result asks for. ``order`` holds values to be greatest first; ties
+    fall to the smallest id.
     """
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     row = F.struct(*[F.col(c) for c in df.columns])
     keyed = df.select(*[k.alias(f"__k{i}") for i, k in enumerate(key)], rank.alias("__rank"), row.alias("__row"), F.col(id_).alias("__id"))
     keys = [f"__k{i}" for i in range(len(key))]
     per_id = keyed.groupBy(*keys, "__id").agg(F.max_by("__row", "__rank").alias("__row"), F.max("__rank").alias("__rank"))
-    best = Window.partitionBy(*keys).orderBy(F.col("__rank").desc(), F.col("__id"))
-    win = per_id.withColumn("__n", F.row_number().over(best)).where(F.col("__n") == 1)
-    ids = per_id.groupBy(*keys).agg(F.array_sort(F.collect_set("__id")).alias("__ids"))
-    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys]
-    joined = win.alias("w").join(ids.alias("i"), same)
-    return joined.select("w.__row.*", F.array_remove("i.__ids", F.col("w.__id")).alias(out))
+    # The greatest rank, then the smallest id: ids of the best rank are aggregated beside it.
+    best = per_id.groupBy(*keys).agg(F.max("__rank").alias("__best"), F.array_sort(F.collect_list("__id")).alias("__ids"))
+    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys] + [F.col("b.__best").eqNullSafe(F.col("p.__rank"))]
+    first = per_id.alias("p").join(best.alias("b"), same)
+    win = first.groupBy(*[F.col(f"b.{k}").alias(k) for k in keys]).agg(F.min_by("p.__row", "p.__id").alias("__row"), F.min("p.__id").alias("__id"), F.first("b.__ids").alias("__ids"))
+    return win.select("__row.*", F.array_remove("__ids", F.col("__id")).alias(out))
 
 
 def merge_same_id(df: DataFrame, id_: str, order: Sequence[Column], arrays: Sequence[str]) -> DataFrame:

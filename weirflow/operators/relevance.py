@@ -79,6 +79,22 @@ def ranked(
     return scored.drop("__held", "__places")
 
 
+def word_points(text: Column, keywords: Sequence[str], points: int) -> Column:
+    """Points for each keyword, or its plural, that stands in the lower-case text as whole words."""
+    total = F.lit(0)
+    for k in keywords:
+        total = total + F.when(text.rlike(rf"\b{re.escape(k.lower())}s?\b"), points).otherwise(0)
+    return total
+
+
+def additive(points: Sequence[tuple[Column, int]]) -> Column:
+    """The sum of the points of the conditions that hold."""
+    total = F.lit(0)
+    for condition, n in points:
+        total = total + F.when(condition, n).otherwise(0)
+    return total
+
+
 def rank_order(score: str = "match_score", at: str = "posted_at", key: str = "job_id") -> list[Column]:
     """Score first, then newest, then key: a total order where keys differ. Nulls last."""
     return [F.coalesce(F.col(score), F.lit(-1)).desc(), F.col(at).desc_nulls_last(), F.col(key).asc()]

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.functions import classify, dates, text, web
-from weirflow.operators import aggregates, dedupe, filters, joins, relevance, resolve, rules, state
+from weirflow.functions import classify, dates, text
+from weirflow.operators import aggregates, dedupe, filters, relevance
 from weirflow.session import materialize, table
 
 NOW = "2026-11-03 00:00:00"
@@ -429,12 +429,13 @@ def weighted_scores(spark, sf):
 
 
 @query("""
-WITH v AS (SELECT company_board, ats, count(*) + CASE WHEN ats IN ('lever', 'ashby') THEN 1000 ELSE 0 END AS votes FROM boards_jobs GROUP BY ALL), s AS (SELECT department, company_board, sum(votes) AS votes FROM (SELECT department, b.company_board, 1 AS votes FROM boards_jobs b WHERE department IS NOT NULL) GROUP BY ALL)
+WITH s AS (SELECT department, company_board, sum(CASE WHEN ats IN ('lever', 'ashby') AND remote THEN 1000 ELSE 1 END) AS votes FROM boards_jobs WHERE department IS NOT NULL GROUP BY ALL)
 SELECT department, company_board, CAST(votes AS BIGINT) AS votes, place FROM (SELECT *, row_number() OVER (PARTITION BY department ORDER BY votes DESC, company_board) AS place FROM s) WHERE place <= 3""")
 def platform_votes(spark, sf):
-    """The boards with most votes in each department."""
+    """The boards with most votes in each department; a vote of one kind outweighs a thousand others."""
     df = table(spark, sf, "boards_jobs").where(F.col("department").isNotNull())
-    return aggregates.voted(df, "department", "company_board", F.lit(1).cast("long")).withColumn("place", F.col("place").cast("long"))
+    weight = F.when(F.col("ats").isin("lever", "ashby") & F.col("remote"), 1000).otherwise(1).cast("long")
+    return aggregates.voted(df, "department", "company_board", weight).withColumn("place", F.col("place").cast("long"))
 
 
 @query("""
@@ -462,15 +463,13 @@ def one_currency_totals(spark, sf):
 
 
 def queries() -> dict:
-    from weirflow.plans import catalogue_more  # noqa: F401  (registers its queries)
+    from weirflow.plans import catalogue_more, catalogue_records  # noqa: F401  (register their queries)
 
     return dict(QUERIES)
 
 
 def sql() -> dict[str, str]:
-    from weirflow.plans import catalogue_more  # noqa: F401
+    from weirflow.plans import catalogue_more, catalogue_records  # noqa: F401
 
     return dict(SQL)
 
-
-__all__ = ["NOW", "SQL", "Window", "jobs", "joins", "queries", "query", "resolve", "rules", "sql", "state", "web"]

@@ -73,15 +73,19 @@ def status_check(spark, sf):
 
 
 @query("""
-WITH d AS (SELECT ats || ':' || company_board AS k, max(company_name) AS company_name FROM boards_jobs GROUP BY k)
-SELECT s.ats, count(*) AS n, count(coalesce(a.company_name, b.company_name)) AS named FROM (SELECT DISTINCT job_id, ats, company_board FROM boards_jobs_snapshots) s
+WITH d AS (SELECT ats || CASE WHEN company_board < 'm' THEN ':eu:' ELSE ':' END || company_board AS k, max(company_name) AS company_name FROM boards_jobs GROUP BY k
+  UNION ALL SELECT ats || ':' || company_board, 'plain' FROM boards_jobs WHERE company_board < 'd' GROUP BY ALL)
+SELECT s.ats, count(*) AS n, count(coalesce(a.company_name, b.company_name)) AS named, count(*) FILTER (WHERE coalesce(a.company_name, b.company_name) = 'plain') AS plain FROM (SELECT DISTINCT job_id, ats, company_board FROM boards_jobs_snapshots) s
 LEFT JOIN d a ON a.k = s.ats || ':eu:' || s.company_board LEFT JOIN d b ON b.k = s.ats || ':' || s.company_board GROUP BY s.ats""")
 def fallback_join(spark, sf):
     """Names from the regional key, else the plain one."""
-    dim = table(spark, sf, "boards_jobs").groupBy(F.concat_ws(":", "ats", "company_board").alias("k")).agg(F.max("company_name").alias("company_name"))
+    board = F.col("company_board")
+    key = F.concat("ats", F.when(board < "m", ":eu:").otherwise(":"), board)  # some boards are known by their regional key, some of these by the plain one too
+    dim = table(spark, sf, "boards_jobs").groupBy(key.alias("k")).agg(F.max("company_name").alias("company_name"))
+    dim = dim.unionByName(table(spark, sf, "boards_jobs").where(board < "d").select(F.concat_ws(":", "ats", board).alias("k"), F.lit("plain").alias("company_name")).distinct())
     reads = table(spark, sf, "boards_jobs_snapshots").select("job_id", "ats", "company_board").distinct()
     keys = [F.concat(F.col("ats"), F.lit(":eu:"), F.col("company_board")), F.concat(F.col("ats"), F.lit(":"), F.col("company_board"))]
-    return joins.fallback_join(reads, dim, keys, "k", ["company_name"]).groupBy("ats").agg(F.count(F.lit(1)).alias("n"), F.count("company_name").alias("named"))
+    return joins.fallback_join(reads, dim, keys, "k", ["company_name"]).groupBy("ats").agg(F.count(F.lit(1)).alias("n"), F.count("company_name").alias("named"), F.count_if(F.col("company_name") == "plain").alias("plain"))
 
 
 @query("""
