@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from operator import eq
 
 import pyarrow as pa
@@ -140,7 +141,7 @@ _CUT = re.compile(rf"\s*[\r\n]\s*(?:{BULLET})?|\s[-*•–]\s+\[[ xX✓]?\]\s+|(
 _HEAD = re.compile(BULLET)
 JAVA_SPAN = "(?iU)" + "|".join(SPANS.values())
 # Runs of capitalised words behind the first one, and numbers: what differs between filled records of a template.
-VALUES = r"(?<=\S\s)\p{Lu}[\p{L}\p{M}\p{N}'’&-]*(?:\s\p{Lu}[\p{L}\p{M}\p{N}'’&-]*)*|\d+(?:[.,:]\d+)*"
+VALUES = r"(\s)\p{Lu}[\p{L}\p{M}\p{N}'’&-]*(?:\s\p{Lu}[\p{L}\p{M}\p{N}'’&-]*)*|\d+(?:[.,:]\d+)*"
 FOUND = "m string, segment string, lo long, hi long, unit string, before string, after string, value string, kind string"
 
 
@@ -152,7 +153,7 @@ def segments(text: str) -> list[str]:
 
 def shape(segment: Column) -> Column:
     """Hash of a segment with its numbers and capitalised runs masked."""
-    return F.xxhash64(F.lower(F.regexp_replace(segment, VALUES, "*")))
+    return F.xxhash64(F.lower(F.regexp_replace(segment, VALUES, "$1*")))
 
 
 def plain_shapes(text: Column) -> Column:
@@ -248,6 +249,32 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
+SPAN_SIGN, OPEN_SIGN, ERROR_SIGN = 1, 2, 4
+
+
+@lru_cache(maxsize=1)
+def _signs():
+    """One automaton of all pieces, so that a text is read once for all of them."""
+    import ahocorasick
+
+    bits: dict[str, int] = {}
+    for pieces, bit in ((SPAN_PIECES, SPAN_SIGN), (OPEN_PIECES, OPEN_SIGN), (ERROR_PIECES, ERROR_SIGN)):
+        for piece in pieces:
+            bits[piece] = bits.get(piece, 0) | bit
+    built = ahocorasick.Automaton()
+    for piece, bit in bits.items():
+        built.add_word(piece, bit)
+    built.make_automaton()
+    return built
+
+
+def _signs_in(low: str) -> int:
+    found = 0
+    for _, bit in _signs().iter(low):
+        found |= bit
+    return found
+
+
 def _has_span(low: str, text: str) -> bool:
     return SPAN_CHARS.search(text) is not None and SPAN_SIGNS.search(text) is not None or _any_of(SPAN_PIECES, low)
 
@@ -263,7 +290,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uids, kept, pages = [], [], []
         for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist()):
             low = text.lower()
-            span, filler, opened, error = _has_span(low, text), _has_filler(low), _any_of(OPEN_PIECES, low), _any_of(ERROR_PIECES, low)
+            signs, filler = _signs_in(low), _has_filler(low)
+            span = signs & SPAN_SIGN or SPAN_CHARS.search(text) is not None and SPAN_SIGNS.search(text) is not None
+            opened, error = signs & OPEN_SIGN, signs & ERROR_SIGN
             if not (span or filler or opened or error):
                 continue
             parts = segments(text)
