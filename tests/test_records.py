@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirflow.functions import records, web
-from weirflow.operators import outputs, relevance
-from weirflow.sources import platforms
+from weirflow.operators import outputs, relevance, state
+from weirflow.sources import platforms, releases
 from weirflow.sources.documents import SchemaChange, json_ld, read_csv_by_header
 
 
@@ -125,3 +125,31 @@ def test_assets(spark, tmp_path):
     spark.createDataFrame([("{\"id\": 3}",)], "value string").write.mode("append").text(f"{path}/rows")
     with pytest.raises(ValueError):
         read()
+
+
+def test_releases(spark):
+    body = {
+        "ocid": "o1", "tag": ["tender", "award"], "buyer": {"id": "b"}, "parties": [{"id": "b", "name": "Buyer", "roles": ["buyer"]}, {"id": "s", "name": "Seller"}],
+        "tender": {"title": "T", "value": {"amount": 9, "currency": "USD"}, "items": [{"classification": {"id": "45-1"}}, {}, {"classification": {"id": "451"}}]},
+        "awards": [{"status": "active", "value": {"amount": 2, "currency": "EUR"}, "suppliers": [{"id": "s"}, {"id": "none"}, {"id": "x", "name": "Own"}]}, {"status": "cancelled", "value": {"amount": 5, "currency": "EUR"}, "suppliers": [{"id": "b"}]}],
+    }
+    mixed = {"ocid": "o2", "awards": [{"value": {"amount": 1, "currency": "EUR"}}, {"value": {"amount": 1, "currency": "GBP"}}], "tender": {"value": {"amount": 7, "currency": "SEK"}, "procuringEntity": {"id": "q", "name": "Q"}}}
+    rows = [("k", json.dumps(body)), ("m", json.dumps(mixed)), ("n", json.dumps({"ocid": "o3"})), ("x", "{}"), ("y", "{broken"), ("z", None)]
+    got = {r.kind_: r for r in releases.release_rows(spark.createDataFrame(rows, "kind_ string, body string"), "body").collect()}
+    assert got.keys() == {"k", "m", "n"}
+    assert (got["k"].kind, got["k"].buyer, got["k"].suppliers, got["k"].codes, got["k"].amount, got["k"].currency) == ("award", "Buyer", ["Own", "Seller"], ["451"], 2.0, "EUR")
+    assert (got["m"].kind, got["m"].buyer, got["m"].amount, got["m"].currency) == ("other", "Q", 7.0, "SEK") and got["n"].suppliers == [] and got["n"].amount is None
+    assert releases.release_rows(spark.createDataFrame([], "body string"), "body").count() == 0
+
+
+def test_name_lists(spark):
+    un = "<e><DATAID>1</DATAID><FIRST_NAME>A</FIRST_NAME><SECOND_NAME>B</SECOND_NAME><INDIVIDUAL_ALIAS><ALIAS_NAME> C </ALIAS_NAME></INDIVIDUAL_ALIAS><INDIVIDUAL_ALIAS><ALIAS_NAME>A B</ALIAS_NAME></INDIVIDUAL_ALIAS></e>"
+    df = spark.createDataFrame([("x", un), ("y", "<e><DATAID>2</DATAID></e>"), ("z", None)], "uid_ string, e string")
+    assert [(r.uid, r.name, r.aliases) for r in releases.list_rows(df, "un", "e").collect()] == [("1", "A B", ["C"])]
+    names, aliases = spark.createDataFrame([(1, "N"), (2, "M")], "k int, n string"), spark.createDataFrame([(1, "b"), (1, " a"), (1, ""), (1, "b"), (3, "c"), (2, None)], "k int, a string")
+    assert sorted((r.k, r.aliases) for r in releases.with_aliases(names, aliases, "k", "a").collect()) == [(1, ["a", "b"]), (2, [])]
+
+
+def test_filter_identity(spark):
+    same = values(spark, state.filter_identity(F.col("a")), [(["B ", "a"],), (["A", "b", "b"],), (["a"],), ([],)], "a array<string>")
+    assert same[0] == same[1] != same[2] != same[3]

@@ -15,6 +15,12 @@ def cursor_key(options: dict) -> str:
     return hashlib.sha256(json.dumps(kept, sort_keys=True).encode()).hexdigest()[:20]
 
 
+def filter_identity(values: Column) -> Column:
+    """A name for a set of filter values; order, case, repeats and blanks around them make no other one."""
+    tidy = F.array_sort(F.array_distinct(F.transform(values, lambda v: F.lower(F.trim(v)))))
+    return F.sha2(F.array_join(tidy, ","), 256)
+
+
 def key_hash(key: Column) -> Column:
     """The first 52 bits of a SHA-1, exact as a long."""
     return F.conv(F.substring(F.sha1(key.cast("binary")), 1, 13), 16, 10).cast("long")

@@ -463,13 +463,13 @@ def one_currency_totals(spark, sf):
 
 
 def queries() -> dict:
-    from weirflow.plans import catalogue_more, catalogue_records  # noqa: F401  (register their queries)
+    from weirflow.plans import catalogue_more, catalogue_records, catalogue_runs  # noqa: F401  (register their queries)
 
     return dict(QUERIES)
 
 
 def sql() -> dict[str, str]:
-    from weirflow.plans import catalogue_more, catalogue_records  # noqa: F401
+    from weirflow.plans import catalogue_more, catalogue_records, catalogue_runs  # noqa: F401
 
     return dict(SQL)
 
