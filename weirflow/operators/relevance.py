@@ -34,9 +34,10 @@ def _has_words(held: Column, tokens: Sequence[str], everywhere: Column | None =
 
     def one(token: str) -> Column:
         word = lambda forms: r"(?:^|[^a-z0-9+#])(?:" + "|".join(map(re.escape, forms)) + r")(?:$|[^a-z0-9+#])"
-        found = held.rlike(word(_forms(token)))
+        # All forms begin with the token: texts without it need no expression.
+        found = held.contains(token) & held.rlike(word(_forms(token)))
         telling = [f for f in _forms(token) if len(f) > 1 and f not in STOPWORDS]
-        return found | everywhere.rlike(word(telling)) if everywhere is not None and telling else found
+        return found | (everywhere.contains(token) & everywhere.rlike(word(telling))) if everywhere is not None and telling else found
 
     return all_of(one(t) for t in tokens)
 
@@ -57,7 +58,7 @@ def ranked(
     compiled = [k for k in map(compile_keyword, keywords) if k[0]]
     if not compiled:
         return df.withColumns({"match_score": F.lit(None).cast("int"), "matched_in": F.lit(None).cast("string")})
-    whole = folded(text) if text is not None else F.lit("")
+    whole = F.concat_ws(" ", folded(F.concat_ws(" ", *unit)), folded(text)) if text is not None else F.lit("")
     # A generator of one row keeps the optimiser from computing the texts anew for every keyword.
     held = F.struct(search_text(title).alias("title"), search_text(F.concat_ws(" ", *unit)).alias("unit"), whole.alias("text"))
     df = df.withColumn("__held", F.explode(F.array(held)))
@@ -67,7 +68,7 @@ def ranked(
         by_unit = _at_word_start(units, phrase) | _has_words(units, tokens)
         place = F.when(_at_word_start(titles, phrase), 3).when(by_unit, 2)
         if text is not None:
-            place = place.when(_has_words(titles, tokens, F.concat_ws(" ", units, texts)), 1)
+            place = place.when(_has_words(titles, tokens, texts), 1)
         places.append(place.otherwise(0))
     df = df.withColumn("__places", F.explode(F.array(F.array(*places))))
     count = lambda n: F.size(F.filter("__places", lambda p: p == n))

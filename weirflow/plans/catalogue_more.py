@@ -9,7 +9,7 @@ from weirflow.functions import classify, dates, text, web
 from weirflow.functions.geo import location_codes_udf
 from weirflow.operators import aggregates, joins, relevance, resolve, rules, state, terms
 from weirflow.plans.catalogue import _STOP, NOW, jobs, now, query, sql_company_key, sql_match_key, sql_search_text
-from weirflow.session import materialize, shared_dir, table
+from weirflow.session import materialize, run_dir, table
 from weirflow.sources import documents as doc_sources
 from weirflow.sources import index as index_sources
 
@@ -508,7 +508,7 @@ WITH b AS (SELECT DISTINCT job_id, ats, posted_at, CASE WHEN posted_at IS NULL T
 SELECT ats, band, count(*) AS rows, count(DISTINCT job_id) AS keys, min(posted_at) AS first_at, max(posted_at) AS last_at FROM b WHERE ats IN ('lever', 'ashby', 'workday') GROUP BY ats, band""")
 def index_manifest(spark, sf):
     """An index written in bands, published, read with pruned partitions and described."""
-    base = f"{shared_dir(spark)}/weirflow-index-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    base = f"{run_dir(spark)}/index-{abs(hash(sf))}"
     build = index_sources.write_index(jobs(spark, sf, "job_id", "ats", "posted_at"), base, "ats", "posted_at", "job_id", now())
     index_sources.publish(spark, base, build)
     index = index_sources.read_index(spark, base, "ats", ["lever", "ashby", "workday"])
