@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions.text import STOPWORDS, folded, search_text
 from weirflow.operators.filters import all_of
+from weirflow.session import materialize
 
 
 def compile_keyword(keyword: str) -> tuple[str, list[str]]:
@@ -136,7 +137,19 @@ def round_robin(df: DataFrame, group: str, key: str, limit: int) -> DataFrame:
 
 
 def rotated(df: DataFrame, key: str, day: int) -> DataFrame:
-    """Place of each row when the list begins at another one every day; for lists of bounded size."""
-    n = df.count()
-    place = F.row_number().over(Window.orderBy(key)) - 1
-    return df.withColumn("place", F.pmod(place - F.lit(day % max(n, 1)), F.lit(max(n, 1))))
+    """Place of each row when the list, ordered by its key, begins at another one every day.
+
+    Rows are ordered in ranges: places count on from the sizes of the ranges
+    before, of which there are as many as partitions, so no task orders all.
+    Keys must differ and be few enough a range; nulls come first.
+    """
+    ranged = materialize(df.repartitionByRange(F.col(key)).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, n = [], 0
+    for number in sorted(sizes):
+        starts.append((number, n))
+        n += sizes[number]
+    before = df.sparkSession.createDataFrame(starts, "__range int, __start long")
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    placed = ranged.join(F.broadcast(before), "__range").withColumn("place", F.col("__start") + nth)
+    return placed.withColumn("place", F.pmod(F.col("place") - F.lit(day % max(n, 1)), F.lit(max(n, 1)))).drop("__range", "__start")

@@ -10,12 +10,15 @@ source unit and target.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.session import materialize
+
 MAX_UNITS = 100_000
 FACTORS = "unit string, target string, num double, den double, shift double"
 
@@ -89,6 +92,18 @@ def bounded_rows(df: DataFrame, limit: int = MAX_UNITS) -> list:
     return rows
 
 
+def parsed_once(df: DataFrame, text: str, parse: Callable[[Column], Column], out: str) -> DataFrame:
+    """``df`` with ``parse(text)`` in ``out``, each distinct text parsed once; null for a null text.
+
+    Texts repeat, so the dictionary of distinct ones is joined back by the text
+    itself: one row a text on its side, so a text that many rows share may be
+    split by adaptive skew handling on the other.
+    """
+    words = df.select(F.col(text).alias("__text")).where(F.col("__text").isNotNull()).distinct()
+    known = materialize(words.select("__text", parse(F.col("__text")).alias(out)), "texts")
+    return df.join(known, F.col(text) == F.col("__text"), "left").drop("__text")
+
+
 def convert(df: DataFrame, value: Column, unit: Column, target: str, factors: DataFrame, out: str) -> DataFrame:
     """``df`` with ``value`` in the target unit; null where the value or unit is null or no conversion is known.
 

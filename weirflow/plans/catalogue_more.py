@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import classify, dates, text, web
 from weirflow.functions.geo import location_codes_udf
-from weirflow.operators import aggregates, joins, relevance, resolve, rules, state, terms
+from weirflow.operators import aggregates, joins, relevance, resolve, rules, state, terms, units
 from weirflow.plans.catalogue import _STOP, NOW, jobs, now, query, sql_company_key, sql_match_key, sql_search_text
 from weirflow.session import materialize, run_dir, table
 from weirflow.sources import documents as doc_sources
@@ -397,8 +397,9 @@ def luhn_checks(spark, sf):
 @query()
 def country_codes(spark, sf):
     """Country codes named in locations."""
-    df = jobs(spark, sf, "job_id", "locations")
-    return df.select("job_id", F.array_join(location_codes_udf("locations"), ",").alias("codes"))
+    df = jobs(spark, sf, "job_id", F.to_json("locations").alias("places"))
+    named = units.parsed_once(df, "places", lambda c: location_codes_udf(F.from_json(c, "array<string>")), "codes")
+    return named.select("job_id", F.coalesce(F.array_join("codes", ","), F.lit("")).alias("codes"))
 
 
 @query(r"""

@@ -115,22 +115,20 @@ def _period_udf():
 def _pay_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """(tab, rec, bound, amount, code, period) of each bound of both tables; what isn't stated is null."""
     currency, period, read = _currency_udf(), _period_udf(), _read_text_udf()
+    # A missing currency text states none and scales nothing.
+    scale = F.coalesce(F.col("c.scale"), F.lit(1.0))
     lever = table(spark, sf, "lever_postings").where(F.col("salaryrange").isNotNull())
-    lever = lever.select("id", F.col("salaryrange.min").alias("lo"), F.col("salaryrange.max").alias("hi"), currency("salaryrange.currency").alias("c"), period("salaryrange.interval").alias("period"))
-    lever = lever.select(
-        F.lit("lever_postings").alias("tab"), F.col("id").alias("rec"), (F.col("lo") * F.col("c.scale")).alias("lo"),
-        (F.col("hi") * F.col("c.scale")).alias("hi"), F.col("c.code").alias("code"), "period",
-    )
-    pin = table(spark, sf, "pinpoint_postings").select(
-        "id", "compensation_minimum", "compensation_maximum", currency("compensation_currency").alias("c"),
-        period("compensation_frequency").alias("f"), read("compensation").alias("t"),
-    )
+    lever = lever.select("id", F.col("salaryrange.min").alias("lo"), F.col("salaryrange.max").alias("hi"), F.col("salaryrange.currency").alias("money"), F.col("salaryrange.interval").alias("every"))
+    lever = units.parsed_once(units.parsed_once(lever, "money", currency, "c"), "every", period, "period")
+    lever = lever.select(F.lit("lever_postings").alias("tab"), F.col("id").alias("rec"), (F.col("lo") * scale).alias("lo"), (F.col("hi") * scale).alias("hi"), F.col("c.code").alias("code"), "period")
+    pin = table(spark, sf, "pinpoint_postings").select("id", "compensation_minimum", "compensation_maximum", "compensation_currency", "compensation_frequency", "compensation")
+    for name, parse, out in (("compensation_currency", currency, "c"), ("compensation_frequency", period, "f"), ("compensation", read, "t")):
+        pin = units.parsed_once(pin, name, parse, out)
     lo, hi = F.nullif(F.col("compensation_minimum"), F.lit(float("nan"))), F.nullif(F.col("compensation_maximum"), F.lit(float("nan")))
     from_text = lo.isNull() & hi.isNull()
     pin = pin.select(
         F.lit("pinpoint_postings").alias("tab"), F.col("id").alias("rec"),
-        F.when(from_text, F.col("t.low")).otherwise(lo * F.col("c.scale")).alias("lo"),
-        F.when(from_text, F.col("t.high")).otherwise(hi * F.col("c.scale")).alias("hi"),
+        F.when(from_text, F.col("t.low")).otherwise(lo * scale).alias("lo"), F.when(from_text, F.col("t.high")).otherwise(hi * scale).alias("hi"),
         F.coalesce(F.col("c.code"), F.col("t.code")).alias("code"), F.coalesce(F.col("f"), F.col("t.period")).alias("period"),
     )
     both = lever.unionByName(pin)
