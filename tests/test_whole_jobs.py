@@ -1,6 +1,7 @@
 """Nothing is left out where a query or operator could stop short."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -67,3 +68,16 @@ def test_shared_folder(spark):
     for master in ("spark://host:7077", "yarn", "local-cluster[3,4,1024]"):
         with pytest.raises(ValueError, match="checkpoint.dir"):
             session.require_one_machine(master)
+
+
+def test_overlaps_against_all_pairs(spark):
+    """An item that all nodes hold, null items and repeated rows; equal to comparing all pairs of a block."""
+    rng = random.Random(6)
+    rows = [(b, n, i) for b in ("x", "y") for n in range(25) for i in {*(rng.randrange(30) for _ in range(rng.randrange(1, 12))), 99}]
+    df = spark.createDataFrame([*rows, *rows[:20], ("x", 1, None), (None, 5, 3)], "a string, b int, item int")
+    for least, share in ((4, 0.5), (10**9, 0.3), (1, 0.9)):
+        sets = {}
+        for b, n, i in rows:
+            sets.setdefault((b, n), set()).add(i)
+        want = {(n, m) for (b, n), s in sets.items() for (c, m), t in sets.items() if b == c and n < m and (len(s & t) >= least or len(s & t) >= share * min(len(s), len(t)))}
+        assert {tuple(r) for r in resolve.overlap_edges(df, "a", "b", "item", least, share).collect()} == want

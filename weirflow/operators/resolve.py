@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions.text import fold_accents
@@ -41,16 +41,30 @@ def screen_names(queries: DataFrame, candidates: DataFrame, threshold: float) ->
 
 
 def overlap_edges(members: DataFrame, block: str, node: str, item: str, least: int, share: float) -> DataFrame:
-    """(a, b): nodes of one block that have ``least`` items or ``share`` of the smaller's items in common."""
-    rows = members.select(block, node, item).where(F.col(item).isNotNull()).distinct()
-    sizes = rows.groupBy(block, node).agg(F.count(F.lit(1)).alias("__size"))
-    x = rows.select(block, item, F.col(node).alias("a"))
-    y = rows.select(block, item, F.col(node).alias("b"))
-    shared = x.join(y, [block, item]).where(F.col("a") < F.col("b")).groupBy(block, "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    sa = sizes.select(block, F.col(node).alias("a"), F.col("__size").alias("na"))
-    sb = sizes.select(block, F.col(node).alias("b"), F.col("__size").alias("nb"))
-    alike = (F.col("n") >= least) | (F.col("n") >= F.least("na", "nb") * share)
-    return shared.join(sa, [block, "a"]).join(sb, [block, "b"]).where(alike).select("a", "b")
+    """(a, b): nodes of one block that have ``least`` items or ``share`` of the smaller's items in common.
+
+    A pair must share an item among the rarest ones of its smaller node, all
+    but as many as the overlap it needs less one: only these look for partners,
+    so an item that a large part of all nodes hold makes pairs only of nodes
+    that have hardly any other. Candidates are checked on their whole sets.
+    """
+    rows = members.select(F.col(block).alias("__b"), F.col(node).alias("__n"), F.col(item).alias("__i")).where(F.col("__i").isNotNull()).distinct()
+    rows = materialize(rows, "members")
+    held = rows.groupBy("__b", "__i").agg(F.count(F.lit(1)).alias("__held"))
+    size = F.count(F.lit(1)).over(Window.partitionBy("__b", "__n"))
+    order = Window.partitionBy("__b", "__n").orderBy("__held", "__i")
+    ranked = rows.join(held, ["__b", "__i"]).select("__b", "__n", "__i", size.alias("__size"), F.row_number().over(order).alias("__at"))
+    ranked = materialize(ranked, "ranked-members")
+    needed = F.least(F.lit(least), F.greatest(F.lit(1), F.ceil(F.col("__size") * F.lit(share) - 1e-9)))
+    first = ranked.where(F.col("__at") <= F.col("__size") - needed + 1).select("__b", "__i", F.col("__n").alias("a"), F.col("__size").alias("na"))
+    others = ranked.select("__b", "__i", F.col("__n").alias("b"), F.col("__size").alias("nb"))
+    pairs = first.join(others, ["__b", "__i"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    pairs = materialize(pairs.select("__b", "a", "b", "na", "nb").distinct(), "pairs")
+    sets = rows.groupBy("__b", "__n").agg(F.collect_list("__i").alias("__s"))
+    x, y = sets.select("__b", F.col("__n").alias("a"), F.col("__s").alias("sa")), sets.select("__b", F.col("__n").alias("b"), F.col("__s").alias("sb"))
+    n = F.size(F.array_intersect("sa", "sb"))
+    alike = pairs.join(x, ["__b", "a"]).join(y, ["__b", "b"]).where((n >= least) | (n >= F.col("na") * share))
+    return alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
