@@ -153,3 +153,11 @@ def test_name_lists(spark):
 def test_filter_identity(spark):
     same = values(spark, state.filter_identity(F.col("a")), [(["B ", "a"],), (["A", "b", "b"],), (["a"],), ([],)], "a array<string>")
     assert same[0] == same[1] != same[2] != same[3]
+
+
+def test_board_and_posting_refs(spark):
+    boards = [("https://boards.greenhouse.io/Acme/jobs/12",), ("https://jobs.lever.co/acme.x/1",), ("https://www.recruitee.com/x",), ("https://acme.wd5.myworkdayjobs.com/en-US/Ext",), ("https://acme.jobs.personio.de/job/1",), ("ftp://x",), ("",), (None,)]
+    got = values(spark, web.board_ref(F.col("u")), boards, "u string")
+    assert [tuple(g) if g else None for g in got] == [("greenhouse", "acme"), ("lever", "acme.x"), None, ("workday", "acme"), ("personio", "acme"), None, None, None]
+    posts = [("https://x/jobs/12/apply?y=1",), ("https://x/p?gh_jid=77",), ("https://x/a/00b40b8c-7cc0-48b1-a610-7a90247ae1ca/",), ("https://x/job/Berlin/Nurse_JR-104",), ("https://x/about",), (None,)]
+    assert values(spark, web.posting_ref(F.col("u")), posts, "u string") == ["12", "77", "00b40b8c-7cc0-48b1-a610-7a90247ae1ca", "JR-104", None, None]

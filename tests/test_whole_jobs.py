@@ -1,16 +1,18 @@
 """Nothing is left out where a query or operator could stop short."""
 
 import json
+import os
 import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from weirflow.functions.instants import parse_instant
+from weirflow.functions import geo, pay
+from weirflow.functions.instants import COMPLETE, parse_instant
 from weirflow import session
 from weirflow.operators import relevance, resolve
-from weirflow.plans import catalogue_more
+from weirflow.plans import catalogue_more, data_queries
 
 LONG = "plain words of the daily work " * 60  # 1,800 characters
 
@@ -81,3 +83,57 @@ def test_overlaps_against_all_pairs(spark):
             sets.setdefault((b, n), set()).add(i)
         want = {(n, m) for (b, n), s in sets.items() for (c, m), t in sets.items() if b == c and n < m and (len(s & t) >= least or len(s & t) >= share * min(len(s), len(t)))}
         assert {tuple(r) for r in resolve.overlap_edges(df, "a", "b", "item", least, share).collect()} == want
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_instants_of_whole_tables_against_brute_force(spark):
+    """p1_found and p1_all_instants, every value parsed by itself without dictionary or join."""
+    values = []
+    for tab, rec, fld in (("lever_postings", "id", "createdat"), ("ashby_jobs", "id", "publishedat"), ("search_response", "publication_number", "publication_date"), ("search_response", "publication_number", "deadline_receipt_request")):
+        for r in spark.read.parquet(f"{SF}/{tab}.parquet").select(rec, fld, "tz").collect():
+            held = r[fld] if isinstance(r[fld], list) else [r[fld]]
+            values += [(tab, r[rec], fld, pos, raw, parse_instant(raw, r.tz)) for pos, raw in enumerate(held or []) if raw is not None]
+    want = {(*v[:4], v[5]) for v in values if v[5] is not None and not COMPLETE.fullmatch(v[4])}
+    assert {tuple(r) for r in data_queries.p1_found(spark, SF).collect()} == want and want
+    for r in data_queries.p1_all_instants(spark, SF).collect():
+        own = [v for v in values if (v[0], v[2]) == (r.tab, r.fld)]
+        known = [v[5] for v in own if v[5] is not None]
+        assert (r.texts, r.instants, r.first_us, r.last_us) == (len(own), len(known), min(known), max(known))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_pay_of_whole_tables_against_brute_force(spark):
+    """p3_found, every row by plain arithmetic on the two unit tables, without graph or joins."""
+    rates = {r.currency: r.obs_value for r in spark.read.parquet(f"{SF}/ecb_rates.parquet").collect()} | {"EUR": 1.0}
+    years = {r.period: r.per_year for r in spark.read.parquet(f"{SF}/pay_periods.parquet").collect()}
+    want = set()
+
+    def add(tab, rec, lo, hi, code, period):
+        for bound, amount in (("min", lo), ("max", hi)):
+            if amount is not None and amount > 0 and code in rates and period in years:
+                want.add((tab, rec, bound, int(amount * years[period] / rates[code] + 0.5)))
+
+    for r in spark.read.parquet(f"{SF}/lever_postings.parquet").where("salaryrange IS NOT NULL").collect():
+        code, scale = pay.currency_of(r.salaryrange.currency)
+        add("lever_postings", r.id, *[x * scale if x is not None else None for x in (r.salaryrange.min, r.salaryrange.max)], code, pay.period_of(r.salaryrange.interval))
+    for r in spark.read.parquet(f"{SF}/pinpoint_postings.parquet").collect():
+        lo, hi = (x if x is not None and x == x else None for x in (r.compensation_minimum, r.compensation_maximum))
+        (code, scale), said = pay.currency_of(r.compensation_currency), pay.read_pay(r.compensation)
+        if lo is None and hi is None:
+            lo, hi, scale = said.low, said.high, 1.0
+        lo, hi = (x * scale if x is not None else None for x in (lo, hi))
+        add("pinpoint_postings", r.id, lo, hi, code or said.currency, pay.period_of(r.compensation_frequency) or said.period)
+    got = {tuple(r) for r in data_queries.p3_found(spark, SF).collect()}
+    near = {(t, i, b) for t, i, b, _ in got ^ want}
+    assert all(abs(x[3] - y[3]) <= 1 for x in got for y in want if x[:3] == y[:3] and x[:3] in near) and len(got) == len(want) > 50 and len(got ^ want) <= 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_country_codes_of_whole_tables(spark):
+    rows = spark.read.parquet(f"{SF}/boards_jobs.parquet").select("job_id", "locations").collect()
+    want = {(r.job_id, tuple(r.locations) if r.locations is not None else None): ",".join(geo.location_codes(r.locations)) for r in rows}
+    got = catalogue_more.country_codes(spark, SF).collect()
+    assert sorted((r.job_id, r.codes) for r in got) == sorted((k[0], v) for k, v in want.items())

@@ -91,3 +91,31 @@ def barcode_valid(code: Column) -> Column:
 
 def domain_valid(name: Column) -> Column:
     return F.coalesce(F.lower(name).rlike(r"^(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$"), F.lit(False))
+
+
+# Addresses of boards: platform, and where the board's name stands, in the host or in the path.
+BOARD_HOSTS = (
+    ("greenhouse", r"^https?://(?:boards|job-boards)(?:\.eu)?\.greenhouse\.io/(?:embed/job_board\?for=)?([\w-]+)"), ("lever", r"^https?://jobs(?:\.eu)?\.lever\.co/([\w.-]+)"), ("ashby", r"^https?://jobs\.ashbyhq\.com/([\w.%-]+)"),
+    ("workable", r"^https?://apply\.workable\.com/([\w-]+)"), ("recruitee", r"^https?://([\w-]+)\.recruitee\.com"), ("workday", r"^https?://([\w-]+)\.wd\d+\.myworkdayjobs\.com"),
+    ("personio", r"^https?://([\w-]+)\.jobs\.personio\.(?:de|com)"), ("teamtailor", r"^https?://([\w-]+)\.teamtailor\.com"), ("jazzhr", r"^https?://([\w-]+)\.applytojob\.com"), ("pinpoint", r"^https?://([\w-]+)\.pinpointhq\.com"),
+)
+NO_BOARDS = ("www", "api", "app", "careers", "jobs", "help", "support", "embed", "static", "assets", "j")
+
+
+def board_ref(url: Column) -> Column:
+    """(platform, board) of a board's address by the first pattern that fits; null for others and for names no board can have."""
+    found = F.lit(None).cast("struct<platform:string,board:string>")
+    for platform, pattern in reversed(BOARD_HOSTS):
+        board = F.lower(F.regexp_extract(F.lower(F.trim(url)), pattern, 1))
+        found = F.when((board != "") & ~board.isin(*NO_BOARDS), F.struct(F.lit(platform).alias("platform"), board.alias("board"))).otherwise(found)
+    return found
+
+
+def posting_ref(url: Column) -> Column:
+    """The posting's own id in an address: a query value that names it, else the last part of the path if that holds a number, less the title before or behind it."""
+    named = F.nullif(F.regexp_extract(url, r"[?&](?:gh_jid|jobId|job_id|jid)=([\w-]+)", 1), F.lit(""))
+    path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"(?:/apply(?:ication)?)?/*$", "")
+    uuid = F.nullif(F.regexp_extract(path, r"/([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})$", 1), F.lit(""))
+    last = F.regexp_extract(path, r"://[^/]+/(?:[^/]*/)*(?:[^/]*_)?([^/_]*)$", 1)
+    leading = F.nullif(F.regexp_extract(last, r"^(\d+)(?:-[A-Za-z][A-Za-z-]*)+$", 1), F.lit(""))  # a number before the title in words
+    return F.coalesce(named, uuid, leading, F.when(last.rlike(r"\d"), last))

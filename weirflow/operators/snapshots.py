@@ -15,6 +15,7 @@ from weirflow.session import materialize
 
 CHUNK_ROWS = 16
 BUCKET_ROWS = 50_000
+RUN_DAYS, DAY_SALTS = 10_000, 64
 
 
 def comparable(name: str) -> Column:
@@ -31,16 +32,23 @@ def comparable_array(name: str) -> Column:
 def reads_of_runs(reads: DataFrame, runs: DataFrame, at: str, start: str, end: str, run: str) -> DataFrame:
     """Reads with the run in whose interval [start, end] they lie; reads of no run are left out.
 
-    An equi-join on the day: each run is spread over the days it touches, so
-    that neither side is broadcast whatever its size.
+    An equi-join on the day: each run is spread over the days it touches. Up to
+    ``RUN_DAYS`` rows of these are broadcast, as counted; beyond that the reads
+    of a day, which may be a whole snapshot, are split by a salt of the moment
+    that the few rows of runs are repeated for.
     """
-    days = runs.select(
+    days = runs.where(F.col(start) <= F.col(end)).select(
         F.col(run).alias("__run"), F.col(start).alias("__start"), F.col(end).alias("__end"),
         F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias("__day"),
     )
-    keyed = reads.withColumn("__day", F.to_date(at))
     within = (F.col(at) >= F.col("__start")) & (F.col(at) <= F.col("__end"))
-    return keyed.join(days, "__day").where(within).drop("__day", "__start", "__end")
+    keyed = reads.withColumn("__day", F.to_date(at))
+    if days.limit(RUN_DAYS + 1).count() <= RUN_DAYS:
+        joined = keyed.join(F.broadcast(days), "__day")
+    else:
+        salted = days.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(DAY_SALTS - 1))))
+        joined = keyed.withColumn("__salt", F.pmod(F.xxhash64(at), F.lit(DAY_SALTS)).cast("int")).join(salted, ["__day", "__salt"]).drop("__salt")
+    return joined.where(within).drop("__day", "__start", "__end")
 
 
 def latest_states(reads: DataFrame, run: str, key: str, at: str, content: list[Column]) -> DataFrame:

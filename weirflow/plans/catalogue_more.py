@@ -272,18 +272,23 @@ def snippets(spark, sf):
 
 
 @query(f"""
-WITH j AS (SELECT DISTINCT job_id, title, department, team, description_text FROM boards_jobs), d AS (SELECT row_number() OVER () AS r, job_id, string_split({sql_search_text('title')}, ' ') AS t, string_split({sql_search_text("concat_ws(' ', department, team, description_text)")}, ' ') AS a FROM j),
+WITH j AS (SELECT DISTINCT job_id, company_board, title, department, team, description_text FROM boards_jobs), d AS (SELECT row_number() OVER () AS r, job_id, company_board, string_split({sql_search_text('title')}, ' ') AS t, string_split({sql_search_text("concat_ws(' ', department, team, description_text)")}, ' ') AS a FROM j),
 w AS (SELECT r, word, min(nr) AS nr FROM (SELECT r, unnest(a) AS word, unnest(range(len(a))) AS nr, t FROM d) WHERE length(word) > 1 AND NOT list_contains(t, word) AND word NOT IN ({_STOP}) GROUP BY ALL),
-c AS (SELECT r, word, nr, sum(length(word) + 1) OVER (PARTITION BY r ORDER BY nr) - 1 AS used FROM w),
+h AS (SELECT company_board, word FROM (SELECT DISTINCT d.company_board, d.job_id, w.word FROM w JOIN d USING (r)) JOIN (SELECT company_board, count(DISTINCT job_id) AS n FROM boards_jobs GROUP BY 1) USING (company_board) GROUP BY company_board, word, n HAVING n >= 3 AND count(*) >= n * 0.6),
+o AS (SELECT w.* FROM w JOIN d USING (r) WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.company_board = d.company_board AND h.word = w.word)), c AS (SELECT r, word, nr, sum(length(word) + 1) OVER (PARTITION BY r ORDER BY nr) - 1 AS used FROM o),
 k AS (SELECT r, count(*) AS words, coalesce(string_agg(word, ' ' ORDER BY nr) FILTER (used <= 500), '') AS kw FROM c GROUP BY r)
 SELECT d.job_id, CAST(coalesce(k.words, 0) AS INTEGER) AS words, coalesce(k.kw, '') AS kw FROM d LEFT JOIN k USING (r)""")
 def keyword_fields(spark, sf):
-    """Words of a posting beyond its title within a budget of characters; those its board shares (A9) stay in."""
+    """Words of a posting beyond its title and beyond those that its board's postings share, within a budget of characters."""
     tokens = text.keyword_tokens(F.col("title"), [F.col("department"), F.col("team"), F.col("description_text")])
-    df = jobs(spark, sf, "job_id", "title", "department", "team", "description_text")
-    # A generator of one row keeps the optimiser from computing the words twice.
-    held = df.select("job_id", F.explode(F.array(tokens)).alias("tokens"))
-    return held.select("job_id", F.size("tokens").alias("words"), text.budget_join(F.col("tokens"), 500).alias("kw"))
+    df = jobs(spark, sf, "job_id", "company_board", "title", "department", "team", "description_text")
+    held = materialize(df.select("job_id", "company_board", tokens.alias("tokens")), "tokens")
+    shared = aggregates.shared_terms(held, "company_board", "job_id", F.col("tokens"))
+    # A term of six tenths of a board's postings: at most their mean number of terms / 0.6 a board.
+    by_board = shared.groupBy("company_board").agg(F.collect_set("term").alias("shared"))
+    own = F.array_except("tokens", F.coalesce("shared", F.array().cast("array<string>")))
+    kept = held.join(by_board, "company_board", "left").select("job_id", own.alias("own"))
+    return kept.select("job_id", F.size("own").alias("words"), text.budget_join(F.col("own"), 500).alias("kw"))
 
 
 @query(f"""

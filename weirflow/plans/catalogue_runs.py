@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from weirflow.functions import classify
+from weirflow.functions import classify, web
 from weirflow.operators import state
 from weirflow.plans.catalogue import NOW, now, query, sql_company_key, sql_match_key, sql_search_text
 from weirflow.plans.options import SearchOptions, search
@@ -166,3 +166,21 @@ def json_ld_blocks(spark, sf):
     df = table(spark, sf, "boards_jobs").where(F.col("title").isNotNull()).select("job_id", page.alias("page")).distinct()
     part = lambda name: F.try_variant_get("block", f"$.{name}", "string").alias(name)
     return documents.json_ld(df, "page").select("job_id", part("title"), part("unit")).distinct()
+
+
+@query("""
+SELECT DISTINCT job_id, CASE WHEN ats IN ('greenhouse', 'lever', 'ashby', 'workable', 'recruitee', 'workday', 'personio', 'teamtailor', 'jazzhr', 'pinpoint') THEN ats END AS platform,
+  CASE WHEN ats IN ('greenhouse', 'lever', 'ashby', 'workable', 'recruitee', 'workday', 'personio', 'teamtailor', 'jazzhr', 'pinpoint') THEN lower(company_board) END AS board, list_last(string_split(job_id, ':')) AS posting FROM boards_jobs""")
+def board_refs(spark, sf):
+    """L1, L3: platform, board and posting read from addresses as ten platforms write them."""
+    b, n = F.col("company_board"), F.element_at(F.split("job_id", ":"), -1)
+    at = {"greenhouse": ("https://boards.greenhouse.io/", b, "/jobs/"), "lever": ("https://jobs.eu.lever.co/", b, "/"), "ashby": ("https://jobs.ashbyhq.com/", b, "/"), "workable": ("https://apply.workable.com/", b, "/j/")}
+    hosts = {"recruitee": ".recruitee.com/o/", "workday": ".wd3.myworkdayjobs.com/en-US/Ext/job/Town/Title_", "personio": ".jobs.personio.de/job/", "teamtailor": ".teamtailor.com/jobs/", "jazzhr": ".applytojob.com/apply/", "pinpoint": ".pinpointhq.com/en/postings/"}
+    url = F.concat(F.lit("https://none.sample.invalid/"), b, F.lit("/"), n)
+    for name, (head, board, tail) in at.items():
+        url = F.when(F.col("ats") == name, F.concat(F.lit(head), board, F.lit(tail), n, F.lit("?src=x"))).otherwise(url)
+    for name, tail in hosts.items():
+        url = F.when(F.col("ats") == name, F.concat(F.lit("HTTPS://"), b, F.lit(tail), n, F.lit("/apply"))).otherwise(url)
+    df = table(spark, sf, "boards_jobs").select("job_id", url.alias("url")).distinct()
+    ref = web.board_ref(F.col("url"))
+    return df.select("job_id", ref["platform"].alias("platform"), ref["board"].alias("board"), web.posting_ref(F.col("url")).alias("posting"))
