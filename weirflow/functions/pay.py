@@ -47,8 +47,16 @@ _SIGN = re.compile(rf"{_MONEY_SIGN}|{_CODE}|(?<=k)(?:EUR|USD|€)|\b(?:euros?|us
 _DIGITS = rf"\d{{1,3}}(?:[ .,'’{_SPACES}]\d{{3}})+(?:[.,]\d{{1,2}})?(?!\d)|\d+(?:[.,]\d{{1,2}})?(?!\d)|\d+(?:[.,]\d+)?"
 _SCALE = r"k\b|K\b|thousand\b|Tsd\.?|mille\b|lakhs?\b|lacs?\b|LPA\b|crores?\b|mn\b|m\b|M\b|万"
 _AMOUNT = re.compile(rf"(?P<n>{_DIGITS})\s?(?P<s>{_SCALE})?(?P<pct>\s?%)?")
-_LOWER = re.compile(r"\b(?:from|starting at|starting from|at least|min\.?|minimum|ab|mindestens|à partir de|dès|desde|from)\s*$", re.IGNORECASE)
-_UPPER = re.compile(r"\b(?:up to|max\.?|maximum|at most|bis zu|bis|jusqu['’]à|hasta)\s*$", re.IGNORECASE)
+_LOWER_WORDS = ("a partir de", "ab", "at least", "au moins", "desde", "dès", "from", "min", "min.", "mindestens", "minimum", "no less than", "starting", "starting at", "starting from", "à partir de")
+_UPPER_WORDS = ("at most", "au plus", "bis", "bis zu", "hasta", "höchstens", "jusqu'à", "jusqu’à", "max", "max.", "maximum", "no more than", "up to")
+
+
+def _before_amount(words: tuple[str, ...]) -> re.Pattern:
+    """Any of the words right before an amount."""
+    return re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(w) for w in sorted(words, key=len, reverse=True))})\s*$", re.IGNORECASE)
+
+
+_LOWER, _UPPER = _before_amount(_LOWER_WORDS), _before_amount(_UPPER_WORDS)
 _LUMP = re.compile(r"\b(?:one[- ]time|einmalig|unique|once|sign(?:ing|-on)?[ -]bonus|lump sum|per project)\b", re.IGNORECASE)
 _BONUS_BEFORE = re.compile(r"(?:bonus(?:es)?|prämie|prime)\b[^;,.]*$", re.IGNORECASE)
 _BONUS_AFTER = re.compile(r"^[^;,.\d]{0,12}\b(?:signing |sign-on |retention |annual )?(?:bonus|prämie)\b", re.IGNORECASE)
