@@ -19,14 +19,14 @@ from weirflow.sources import index as index_sources
 @query("""
 WITH RECURSIVE m AS (SELECT DISTINCT s_nationkey AS block, l_suppkey AS node, l_partkey AS item FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 z AS (SELECT block, node, count(*) AS n FROM m GROUP BY ALL),
-e AS (SELECT x.node AS a, y.node AS b FROM m x JOIN m y ON x.block = y.block AND x.item = y.item AND x.node < y.node JOIN z p ON p.node = x.node JOIN z q ON q.node = y.node GROUP BY x.node, y.node, p.n, q.n HAVING count(*) >= 40 OR count(*) >= least(p.n, q.n) * 0.30),
+e AS (SELECT x.node AS a, y.node AS b FROM m x JOIN m y ON x.block = y.block AND x.item = y.item AND x.node < y.node JOIN z p ON p.node = x.node JOIN z q ON q.node = y.node GROUP BY x.node, y.node, p.n, q.n HAVING count(*) >= 140 OR count(*) >= least(p.n, q.n) * 0.28),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
 SELECT node, min(root) AS component FROM r GROUP BY node""")
 def cluster_boards(spark, sf):
     """Suppliers of one nation joined by the number or the share of parts they have in common, as components."""
     supplier = table(spark, sf, "supplier")
     members = table(spark, sf, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "l_suppkey", "l_partkey")
-    edges = resolve.overlap_edges(members, "s_nationkey", "l_suppkey", "l_partkey", 40, 0.30)
+    edges = resolve.overlap_edges(members, "s_nationkey", "l_suppkey", "l_partkey", 140, 0.28)
     return resolve.connected_components(supplier.select("s_suppkey"), edges)
 
 
