@@ -126,6 +126,30 @@ def test_names(spark):
     assert sorted((r.q, r.c, r.score) for r in resolve.screen_names(q, c, 0.8).collect()) == [(1, 1, 0.867), (1, 2, 1.0), (1, 4, 1.0)]
 
 
+def test_names_of_many_ids(spark):
+    """Names are compared once each, not once for every two ids that have them, and what pairs of ids there are is no longer shuffled or counted."""
+    names = ("large ring", "Ring, large", "old ring", "ring of the large", "hot bolt", None, "ltd")
+    q = spark.createDataFrame([(i, names[i % 7]) for i in range(70)] + [(None, "old ring"), (14, "hot bolt"), (3, "ring of the large")], "q int, name string")
+    c = spark.createDataFrame([(i, names[i % 7]) for i in range(700)] + [(None, "large ring"), (4, "hot bolt")], "c int, name string")
+    alike = resolve.alike_names(q.groupBy("q", resolve.name_norm(F.col("name")).alias("qn")).agg(F.count("*").alias("mq")), c.groupBy("c", resolve.name_norm(F.col("name")).alias("cn")).agg(F.count("*").alias("mc")), 0.7)
+    assert alike.where("mq = 1 and mc = 1").count() == 11
+    found = resolve.screen_names(q, c, 0.7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")] and "Aggregate" not in plan[: plan.index("SortMergeJoin")]
+    whole = found.where("(q <> 3 or q is null) and (c <> 4 or c is null)")
+    same = {0: (0, 1, 3), 1: (0, 1, 3), 2: (2,), 3: (0, 1, 3), 4: (4,)}
+    expected = [(a, b, 1.0) for a in [*range(70), None] for b in [*range(700), None] if a != 3 and b != 4 and (2 if a is None else a % 7) in same and (0 if b is None else b % 7) in same[2 if a is None else a % 7]]
+    expected += [(14, b, 1.0) for b in range(700) if b % 7 == 4 and b != 4]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0, r[2])
+    assert sorted(map(tuple, whole.collect()), key=key) == sorted(expected, key=key)
+    spread = resolve.SPELLED_AT_ONCE
+    try:
+        resolve.SPELLED_AT_ONCE = 100
+        assert sorted(map(tuple, resolve.screen_names(q, c, 0.7).collect()), key=key) == sorted(map(tuple, found.collect()), key=key)
+    finally:
+        resolve.SPELLED_AT_ONCE = spread
+
+
 def test_state(spark):
     rows = spark.createDataFrame([("a", date(2026, 1, 1)), ("b", date(2026, 1, 2)), ("c", date(2026, 1, 2)), ("d", None)], "id string, day date")
     known = rows.where("id = 'b'")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from weirflow.session import materialize
 
 # Words that tell no two organisations apart.
 NAME_STOP = ("THE", "OF", "AND", "CO", "COMPANY", "CORP", "CORPORATION", "LTD", "LIMITED", "LLC", "INC", "SA", "JSC", "OOO", "GMBH")
+SPELLED_AT_ONCE = 1_000_000  # parameter of the work's division only: results don't depend on it
 
 
 def name_norm(name: Column) -> Column:
@@ -22,22 +25,49 @@ def name_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(name_norm(name), " "), lambda t: (t != "") & ~F.array_contains(stop, t)))
 
 
+def _named(rows: DataFrame, id_: str, name: str, repeats: str) -> DataFrame:
+    """(id, name, repeats): the different names of each id as compared, and how often the id has each."""
+    return rows.groupBy(F.col(id_), name_norm(F.col("name")).alias(name)).agg(F.count(F.lit(1)).alias(repeats))
+
+
+def alike_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(qn, mq, cn, mc, lq, lc, score): each pair of different names once, with the ids that have them.
+
+    Pairs come from an equi-join on tokens; a name that an id has ``m`` times
+    counts its tokens as often.
+    """
+    names = left.groupBy("qn", "mq").agg(F.count(F.lit(1)).alias("lq")).withColumn("ts", name_tokens(F.col("qn")))
+    others = right.groupBy("cn", "mc").agg(F.count(F.lit(1)).alias("lc")).withColumn("ts", name_tokens(F.col("cn")))
+    at_left = names.select("qn", "mq", "lq", F.size("ts").alias("nq"), F.explode("ts").alias("t"))
+    at_right = others.select("cn", "mc", "lc", F.size("ts").alias("nc"), F.explode("ts").alias("t"))
+    shared = at_left.join(at_right, "t").groupBy("qn", "mq", "cn", "mc", "lq", "lc", "nq", "nc").agg(F.count(F.lit(1)).alias("n"))
+    shared = shared.withColumn("n", F.col("n") * F.col("mq") * F.col("mc"))
+    union = F.col("nq") + F.col("nc") - F.col("n")  # 0 for some names that an id has twice; SQL divides by it
+    both = F.lit(0.6) * F.col("n") / F.least("nq", "nc") + F.coalesce(F.try_divide(F.lit(0.4) * F.col("n"), union), F.lit(float("inf")))
+    score = F.when(F.col("qn") == F.col("cn"), 1.0).otherwise(F.round(both, 3))
+    return shared.select("qn", "mq", "cn", "mc", "lq", "lc", score.alias("score")).where(F.col("score") >= threshold)
+
+
 def screen_names(queries: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
     """(q, c, score): names alike by their tokens, 1 for equal names.
 
-    ``queries`` has (q, name), ``candidates`` (c, name). Only pairs that share
-    a token can score, so pairs come from an equi-join on tokens; how often a
-    token is shared is counted in the shuffle and pairs are formed by counts,
-    not by comparing all names.
+    ``queries`` has (q, name), ``candidates`` (c, name). Different names are
+    compared once, however many ids have them; only pairs of names that reach
+    the threshold are spelled out for their ids, by a last join whose rows are
+    the result. The ids of a name that makes many rows are dealt over slices of
+    about ``SPELLED_AT_ONCE`` rows.
     """
-    left = queries.select("q", name_norm(F.col("name")).alias("qn"), name_tokens(F.col("name")).alias("qt"))
-    right = candidates.select("c", name_norm(F.col("name")).alias("cn"), name_tokens(F.col("name")).alias("ct"))
-    at_left = left.select("q", "qn", F.size("qt").alias("nq"), F.explode("qt").alias("t"))
-    at_right = right.select("c", "cn", F.size("ct").alias("nc"), F.explode("ct").alias("t"))
-    shared = at_left.join(at_right, "t").groupBy("q", "c", "qn", "cn", "nq", "nc").agg(F.count(F.lit(1)).alias("n"))
-    both = F.lit(0.6) * F.col("n") / F.least("nq", "nc") + F.lit(0.4) * F.col("n") / (F.col("nq") + F.col("nc") - F.col("n"))
-    score = F.when(F.col("qn") == F.col("cn"), 1.0).otherwise(F.round(both, 3))
-    return shared.select("q", "c", score.alias("score")).where(F.col("score") >= threshold)
+    left, right = _named(queries, "q", "qn", "mq"), _named(candidates, "c", "cn", "mc")
+    alike = materialize(alike_names(left, right, threshold), "names-alike")
+    rows = F.sum(F.col("lq") * F.col("lc").cast("double"))
+    spelled = alike.groupBy("cn", "mc").agg(F.least(F.max("lc"), F.ceil(rows / SPELLED_AT_ONCE)).alias("slices"))
+    asking = left.join(alike.select("qn", "mq", "cn", "mc", "score"), ["qn", "mq"]).join(spelled, ["cn", "mc"])
+    asking = asking.select("cn", "mc", "q", "score", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    dealt = right.join(spelled, ["cn", "mc"]).select("cn", "mc", "c", F.pmod(F.xxhash64("c"), "slices").alias("slice"))
+    # Both sides are small and what they make is not: partitions go by the rows made, and neither side may be joined where it stands.
+    made = alike.agg(rows.alias("n")).first().n or 0
+    parts, keys = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(made / SPELLED_AT_ONCE)), ("cn", "mc", "slice")
+    return dealt.repartition(parts, *keys).join(asking.repartition(parts, *keys).hint("merge"), list(keys)).select("q", "c", "score")
 
 
 def overlap_edges(members: DataFrame, block: str, node: str, item: str, least: int, share: float) -> DataFrame:
