@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from weirflow.llm import near_duplicates
 from weirflow.llm.near_duplicates import SUPPORTS, NearDuplicates
 
 
@@ -102,3 +103,21 @@ def test_short_near_duplicates(spark):
     found = NearDuplicates(spark.createDataFrame(rows, "id string, t string"), F.col("id"), F.col("t"), k=3, threshold=0.45)
     pairs = {(r.id_a, r.id_b) for r in found.pairs(found.links()).collect()}
     assert pairs <= {(f"{i}x", f"{i}y") for i in range(40)} and len(pairs) >= 38
+
+
+def test_links_move_texts_of_candidates_only(spark, monkeypatch):
+    """Few of many records are in a candidate pair: none of their texts is left out, hardly any other goes into the join, and no set of hashes does."""
+    for kind in ("long", "string"):
+        df = spark.range(40_000).select(F.col("id").cast(kind).alias("id"), F.lit("t").alias("text")).unionByName(spark.sql(f"SELECT cast(null AS {kind}) AS id, 't' AS text"))
+        ids = df.where("cast(id AS long) % 40 = 7").select("id")
+        for most in (near_duplicates.MOST_BITS, 1):
+            monkeypatch.setattr(near_duplicates, "MOST_BITS", most)
+            kept = near_duplicates._perhaps_in(df, ids)
+            assert kept.columns == ["id", "text"] and kept.join(ids, "id", "left_semi").count() == 1000
+            assert kept.count() < 6000
+            monkeypatch.undo()
+        assert near_duplicates._perhaps_in(df, ids.limit(0)).count() == 0
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(50)] + [(100, " ".join(f"w7x{j}" for j in range(19))), (7, "another text of the same id")]
+    links = NearDuplicates(spark.createDataFrame(rows, "id long, t string"), F.col("id"), F.col("t"), k=3, threshold=0.8).links()
+    assert links.count() == 1 and abs(links.first().share - 17 / 18) < 1e-12
+    assert "items" not in links._jdf.queryExecution().toString()

@@ -42,6 +42,7 @@ BLOCKS = 12
 SYMBOLS = BLOCKS * 7
 COMMON_SHARE, COMMON_MOST, COMMON_SHIFT = 0.03, 65_536, 3  # parameters of the fingerprint only: links don't depend on them
 COUNTED_AT_ONCE = 4_000_000
+BITS, MOST_BITS = 16, 2**28  # parameters of what is shuffled only
 _BREAKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _SEED.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -186,6 +187,14 @@ def _alike(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             yield batch.filter(pa.array(same >= least)).select(["a", "b"])
 
 
+def _named_texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    shingle = Shingler(k)
+    for batch in batches:
+        sets = [shingle.shingles(shingle.words(t)) for t in batch.column("text").to_pylist()]
+        out = pa.RecordBatch.from_arrays([pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), batch.column("text")], ["uid", "text"])
+        yield out.filter(out.column("uid").is_valid())
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     shingle = Shingler(k)
     for batch in batches:
@@ -195,17 +204,36 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in keep], pa.int64()), items], ["uid", "items"])
 
 
-def _exact(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _exact(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    shingle, last, x = Shingler(k), None, np.empty(0, np.uint64)
     for batch in batches:
         share = []
-        for x, y in zip(batch.column("sa"), batch.column("sb")):
-            x, y = x.values.to_numpy(), y.values.to_numpy()
+        for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb")):
+            if a != last:  # the pairs of a class stand together after the join
+                last, x = a, shingle.shingles(shingle.words(ta.as_py()))
+            y = shingle.shingles(shingle.words(tb.as_py()))
             both = np.intersect1d(x, y, assume_unique=True).size
             share.append(both / (len(x) + len(y) - both))
         out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], ["a", "b", "share"])
         yield out.filter(pa.array([x >= threshold for x in share], pa.bool_()))
 
 
+def _perhaps_in(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id is in ``ids``, and a few others: those at whose place in a broadcast bitmap an id of ``ids`` stands too.
+
+    It has ``BITS`` bits for each id, at most ``MOST_BITS``; beyond, more rows
+    pass, but none is lost. So a join by id shuffles hardly more than it keeps.
+    """
+    # Fixed value: Spark's bitmaps have 32,768 bits each.
+    pages = max(1, min(MOST_BITS, ids.count() * BITS) // 32_768 + 1)
+    place = F.pmod(F.xxhash64("id"), F.lit(pages * 32_768))
+    page, at = F.floor(place / 32_768), place % 32_768
+    bits = ids.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    held = F.conv(F.hex(F.substring("bits", (F.floor(F.col("at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = df.withColumns({"page": page, "at": at}).join(F.broadcast(bits), "page")
+    return found.where(held.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 AS int))")) != 0).select(df.columns)
+
+
 def _mapped(df: DataFrame, step: Callable, schema: str, **values: object) -> DataFrame:
     return df.mapInArrow(partial(step, **values) if values else step, schema)
 
@@ -292,19 +320,31 @@ class NearDuplicates:
         pairs = first.alias("x").join(first.alias("y"), "item").where(F.col("x.uid") < F.col("y.uid"))
         return pairs.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
 
+    def _ids(self, used: DataFrame) -> DataFrame:
+        """(id): one record of each of the named classes."""
+        return self.records.select("id", "uid").join(used, "uid", "left_semi").groupBy("uid").agg(F.min("id").alias("id")).select("id").distinct()
+
     def _sets(self, used: DataFrame) -> DataFrame:
         """(uid, items) of the named classes, read from one record of each."""
-        ids = self.records.select("id", "uid").join(used, "uid", "left_semi").groupBy("uid").agg(F.min("id").alias("id"))
-        texts = self._source.join(ids.select("id").distinct(), "id", "left_semi")
+        texts = self._source.join(self._ids(used), "id", "left_semi")
         return _mapped(texts.select("text"), _shingle_sets, "uid long, items array<long>", k=self._k).dropDuplicates(["uid"])
 
+    def _texts(self, used: DataFrame) -> DataFrame:
+        """(uid, text) of the named classes, read from one record of each."""
+        ids = materialize(self._ids(used), "ids")
+        texts = _perhaps_in(self._source, ids).join(ids, "id", "left_semi")
+        return _mapped(texts.select("text"), _named_texts, "uid long, text string", k=self._k).dropDuplicates(["uid"])
+
     def links(self, exact: bool = False) -> DataFrame:
-        """(a, b, share) of each pair of classes whose share of common shingles reaches the threshold."""
+        """(a, b, share) of each pair of classes whose share of common shingles reaches the threshold.
+
+        Texts go to the pairs, not sets of hashes, which are three times as large and don't compress.
+        """
         pairs = materialize(self.all_candidates() if exact else self.candidates(), "candidates")
-        sets = self._sets(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
-        joined = pairs.join(sets.select(F.col("uid").alias("b"), F.col("items").alias("sb")), "b")
-        joined = joined.join(sets.select(F.col("uid").alias("a"), F.col("items").alias("sa")), "a")
-        return _mapped(joined.select("a", "b", "sa", "sb"), _exact, "a long, b long, share double", threshold=self._threshold)
+        texts = self._texts(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
+        joined = pairs.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b")
+        joined = joined.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a")
+        return _mapped(joined.select("a", "b", "ta", "tb"), _exact, "a long, b long, share double", k=self._k, threshold=self._threshold)
 
     def members(self) -> DataFrame:
         """(uid, id): the different records of each class."""
