@@ -26,8 +26,11 @@ def name_tokens(name: Column) -> Column:
 
 
 def _named(rows: DataFrame, id_: str, name: str, repeats: str) -> DataFrame:
-    """(id, name, repeats): the different names of each id as compared, and how often the id has each."""
-    return rows.groupBy(F.col(id_), name_norm(F.col("name")).alias(name)).agg(F.count(F.lit(1)).alias(repeats))
+    """(id, name, repeats): the different names of each id as compared, and how often the id has each.
+
+    Rows are dealt by id first, so that a table in few files is normalised by all tasks.
+    """
+    return rows.repartition(id_).groupBy(F.col(id_), name_norm(F.col("name")).alias(name)).agg(F.count(F.lit(1)).alias(repeats))
 
 
 def alike_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -36,10 +39,11 @@ def alike_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     Pairs come from an equi-join on tokens; a name that an id has ``m`` times
     counts its tokens as often.
     """
+    # Outer, as explode would have Spark look for tokens in every row of the tables, before names are told apart; a null token meets none.
     names = left.groupBy("qn", "mq").agg(F.count(F.lit(1)).alias("lq")).withColumn("ts", name_tokens(F.col("qn")))
     others = right.groupBy("cn", "mc").agg(F.count(F.lit(1)).alias("lc")).withColumn("ts", name_tokens(F.col("cn")))
-    at_left = names.select("qn", "mq", "lq", F.size("ts").alias("nq"), F.explode("ts").alias("t"))
-    at_right = others.select("cn", "mc", "lc", F.size("ts").alias("nc"), F.explode("ts").alias("t"))
+    at_left = names.select("qn", "mq", "lq", F.size("ts").alias("nq"), F.explode_outer("ts").alias("t"))
+    at_right = others.select("cn", "mc", "lc", F.size("ts").alias("nc"), F.explode_outer("ts").alias("t"))
     shared = at_left.join(at_right, "t").groupBy("qn", "mq", "cn", "mc", "lq", "lc", "nq", "nc").agg(F.count(F.lit(1)).alias("n"))
     shared = shared.withColumn("n", F.col("n") * F.col("mq") * F.col("mc"))
     union = F.col("nq") + F.col("nc") - F.col("n")  # 0 for some names that an id has twice; SQL divides by it
